@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladespark.llm import byte_cnn, packing, personal_data, quality_rules, secrets_scan, sharding, source_mixing, transport_stream
+from cladespark.llm import byte_cnn, lm_scoring, packing, personal_data, quality_rules, secrets_scan, sharding, source_mixing, transport_stream
 from cladespark.llm.oracles import ORACLES
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_transport_stream": transport_stream.op1_transport_stream,
         "op2_byte_cnn": byte_cnn.op2_byte_cnn,
+        "op3_stupid_backoff": lm_scoring.op3_stupid_backoff,
         "op4_concat_and_cut": packing.op4_concat_and_cut,
         "op5_pareto_mix": source_mixing.op5_pareto_mix,
         "op7_quality_rules": quality_rules.op7_quality_rules,
