@@ -42,6 +42,8 @@ SLACK = 0.6
 BLOCK, TEXT_BLOCK = 500, 200
 #: N-grams of a component for each further block of texts, for the sake of very long ones.
 TEXT_BLOCK_GRAMS = 2_000_000
+#: Log of the bits that say which texts are wanted for exact comparison.
+MOST_BITS = 26
 
 
 def prefix_depth(threshold: float, trees: int, deepest: int, recall: float) -> int:
@@ -223,12 +225,33 @@ def _links(sets: list[np.ndarray], block: np.ndarray, mixed: bool, threshold: fl
     return np.nonzero(near)
 
 
+def _sifted(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts(key, text) without most rows whose key is not among the keys; a join has to follow.
+
+    Keys set bits by their hash in a table of at most 2 ** MOST_BITS bits, so
+    what is broadcast is bounded. With more keys than bits more rows pass.
+    """
+    n = keys.count()
+    bits = 1 << min(MOST_BITS, max(10, (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
+    words_ = keys.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("b")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words_.w.to_numpy(int)] = words_.b
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            yield batch.filter(pa.array(table[s >> 6] >> (s & 63) & 1 == 1)).select([0, 1])
+
+    return texts.select("key", "text", slot.alias("slot")).mapInArrow(each, "key long, text string")
+
+
 def links(docs: DataFrame, members: DataFrame, threshold: float, n: int = NGRAM) -> DataFrame:
     """(node, root, links): exact links of each node in each pair of blocks of its component, and a tie."""
     sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("grams").alias("all_grams"))
     blocks = F.ceil(F.greatest(F.col("size") / TEXT_BLOCK, F.col("all_grams") / TEXT_BLOCK_GRAMS)).cast("int")
     placed = members.join(sizes, "root").select("node", F.col("root").alias("component"), "key", blocks.alias("b"))
-    texts = keyed(docs).drop("doc_id").join(placed, "key")
+    texts = _sifted(keyed(docs).drop("doc_id"), placed).join(placed, "key")
     dealt = _blocks(texts, "component", F.col("b"), ["component"], ["node", "text"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
