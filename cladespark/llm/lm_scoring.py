@@ -139,8 +139,9 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = M
     vocab = vocabulary(docs, max_words)
     log_counts = np.log(np.maximum(vocab.counts, 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bigrams(docs, vocab).repartition(parts, "gram")
-    counted = dealt.groupBy("gram").agg(F.sum("times").alias("n")).filter(F.col("n") >= min_count)
+    # The filter that the join implies, and a count that needs doc_id, make both uses of these rows equal: they are dealt out once.
+    dealt = bigrams(docs, vocab).filter("gram is not null").repartition(parts, "gram")
+    counted = dealt.groupBy("gram").agg(F.sum("times").alias("n"), F.count("doc_id").alias("n_docs")).filter(F.col("n") >= min_count)
     gain_of_pair = float(np.log(max(vocab.total, 1)) - np.log(backoff))
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
