@@ -119,7 +119,7 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
     leaves = [n for n in tree.leaves]
     place = {tree.labels.get(n, str(n)): n for n in leaves}
     out = []
-    for (kind, tcm_id), part in rows.groupby(["bin", rows.tcm_id.fillna(-1).astype(int)], sort=True):
+    for (kind, tcm_id), part in rows.groupby(["bin", pd.to_numeric(rows.tcm_id).fillna(-1).astype(int)], sort=True):
         chars = np.sort(part.char_id.unique())
         column = {c: i for i, c in enumerate(chars)}
         known = part[part.taxon.isin(place)]
