@@ -158,6 +158,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
                     out[row:end] = model.scores(buf, bounds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
+    staging.small_batches(docs.sparkSession)
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return source.mapInArrow(each, f"doc_id {dict(source.dtypes)['doc_id']}, score double")
 

@@ -136,6 +136,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = M
     if max_words >= 1 << _BITS:
         raise ValueError(f"at most {(1 << _BITS) - 1} words")
     spark = docs.sparkSession
+    staging.small_batches(spark)
     vocab = vocabulary(docs, max_words)
     log_counts = np.log(np.maximum(vocab.counts, 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -282,6 +282,7 @@ def links(docs: DataFrame, members: DataFrame, threshold: float, n: int = NGRAM)
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, n: int = NGRAM) -> DataFrame:
     """(doc_id, key, class_key, class_id, n_links, n_copies) of every row of docs(doc_id, text)."""
+    staging.small_batches(docs.sparkSession)
     depth = prefix_depth(threshold, trees, deepest, recall)
     signed = staging.stage(signatures(docs, depth, trees, n), "signatures")
     full = signed.filter("node is not null")

@@ -28,7 +28,7 @@ from cladespark.llm import staging
 
 WINDOW, CLOSING = 2048, 1
 #: Words whose ids a Python worker keeps; the store is emptied when full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 #: Up to this many partitions, their first offsets are broadcast.
 BROADCAST_PARTITIONS = 500_000
 #: Texts of these characters alone are cut into words here: for them lower case, NFC and the classes of
@@ -102,6 +102,7 @@ def tokenized(docs: DataFrame, path: str, closing: int = CLOSING) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, closing: int = CLOSING) -> DataFrame:
     """Boundary records: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids."""
+    staging.small_batches(docs.sparkSession)
     rows = staging.stage(tokenized(docs, path, closing), "tokens")
     totals = rows.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

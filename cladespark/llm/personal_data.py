@@ -208,6 +208,7 @@ def _counted(total: Counter) -> pa.RecordBatch:
 def confident_patterns(docs: DataFrame) -> np.ndarray:
     """Hashes of the patterns whose worth ends at CONFIDENT or more."""
     spark = docs.sparkSession
+    staging.small_batches(spark)
     seeded = staging.stage(seed_patterns(docs), "pii-patterns")
     edges = seeded.agg(F.sum("seeds")).first()[0] or 0
     chosen = [r.pattern for r in seeded.filter((F.col("seeds") >= MIN_SEEDS) & (F.col("seeds") * MAX_PATTERNS >= F.lit(edges))).select("pattern").collect()]  # MAX_PATTERNS at most
@@ -228,8 +229,9 @@ def confident_patterns(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.pattern for r in scored if r.c >= CONFIDENT], np.int64).astype(np.uint64))
 
 
-def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns, the text and its spans: array of (kind, start, end), by kind, then start."""
+def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = None, name: str = "spans") -> DataFrame:
+    """The carried columns, the text and, under `name`, its spans: array of (kind, start, end), by kind, then start."""
+    staging.small_batches(docs.sparkSession)
     carry = carry or []
     source = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col("text").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -251,7 +253,7 @@ def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = No
 
     kinds = dict(source.dtypes)
     schema = ", ".join([*[f"__c{i} {kinds[f'__c{i}']}" for i in range(len(carry))], "text string, spans array<struct<kind:string,start:long,end:long>>"])
-    return source.mapInArrow(each, schema).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "text", "spans")
+    return source.mapInArrow(each, schema).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "text", F.col("spans").alias(name))
 
 
 def redacted(text: str | None, spans: list) -> str | None:

@@ -167,6 +167,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, carry: list
     and equal texts get equal verdicts. Without rows or trusted labels the
     ratios are 0 and the base rules decide alone.
     """
+    staging.small_batches(spark)
     known = trusted_ids(spark, sf_dir).select(F.col("doc_id").alias("__doc"), F.lit(True).alias("__good"))
     marked = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text")).join(F.broadcast(known), "__doc", "left")
     every, good = multinomials(marked, "__text", "__good")

@@ -130,6 +130,7 @@ def joined(spans: Column) -> Column:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staging.small_batches(spark)
     docs = staging.documents(spark, sf_dir).select("doc_id", secret_spans(F.col("text")).alias("s"))
     count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("s", lambda x: x["kind"].isin(*BASE))

@@ -96,7 +96,8 @@ def plan(slim: DataFrame, tilt: float) -> DataFrame:
     figures = figures.withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     figures = figures.select("source", "source_size", "target", F.floor("r").cast("long").alias("whole"), (F.col("r") - F.floor("r")).alias("f"), (F.col("source_size") / F.col("n")).alias("mean"))
     figures = staging.stage(figures.withColumn("tilt", F.lit(tilt) * F.least(F.col("f"), 1 - F.col("f"))), "mix-figures")
-    centre = attach(slim, figures, ["source"]).groupBy("source").agg((F.sum(F.col("size") * _longer()) / F.greatest(F.sum("size"), F.lit(1))).alias("centre")).withColumnRenamed("source", "s2")
+    # A sum of decimals does not depend on the order of the rows, so reruns agree.
+    centre = attach(slim, figures, ["source"]).groupBy("source").agg((F.sum((F.col("size") * _longer()).cast("decimal(30,9)")).cast("double") / F.greatest(F.sum("size"), F.lit(1))).alias("centre")).withColumnRenamed("source", "s2")
     return staging.stage(figures.join(centre, F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "mix-plan")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _OWN: list[str] = []
 
 
@@ -21,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_ROWS rows and BATCH_BYTES, so that long texts fit beside others.
+
+    A session that has smaller batches set keeps them.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?\d+", spark.conf.get(key))
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df and read it again: it is computed once, and losing an executor does not lose it."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -238,6 +238,7 @@ def read_stream(media: pd.Series) -> pd.DataFrame:
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a transport stream of each text. Null and empty texts give 64 zero bytes of payload."""
+    staging.small_batches(docs.sparkSession)
     return docs.withColumn(media, text_to_stream(F.col(text).cast("string")))
 
 
