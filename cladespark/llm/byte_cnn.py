@@ -28,7 +28,7 @@ from cladespark.llm import staging, words
 
 CHUNK, OVERLAP, WIDTH, STEP = 512, 64, 8, 4
 DIM, FILTERS = 8, 16
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
 EPOCHS, BATCH, RATE, DECAY = 12, 32, 0.01, 1e-4
 _HOP = CHUNK - OVERLAP
 _PER_CHUNK = (CHUNK - WIDTH) // STEP + 1
