@@ -169,3 +169,66 @@ class Aligner:
             out.append(own_context[own] if mine else gap)
             own += mine
         return out
+
+
+def affine_cost(aligner: Aligner, a: Sequence[int], b: Sequence[int], opening: int) -> int:
+    """Least cost of two gapless sequences when each run of gaps costs `opening` besides its sites (Gotoh, 1982)."""
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    if not len(x) or not len(y):
+        return 0
+    cost = aligner._pairs(x, y)[1]
+    gap = np.array([aligner.gap])
+    along, down = aligner._pairs(gap, y)[1][0], aligner._pairs(x, gap)[1][:, 0]
+    run = np.concatenate([[0], np.cumsum(along)])
+    far = np.int64(1) << 50
+    # Ends in a match, in a gap of the first sequence, in one of the second.
+    match = np.concatenate([[0], np.full(len(y), far)])
+    across = np.concatenate([[far], run[1:] + opening])
+    below = np.full(len(y) + 1, far)
+    for i in range(len(x)):
+        best = np.minimum(np.minimum(match, across), below)
+        below = np.minimum(np.minimum(match, across) + opening, below) + down[i]
+        match = np.concatenate([[far], best[:-1] + cost[i]])
+        start = np.concatenate([[far], np.minimum(match, below)[:-1] + opening + along])
+        # A gap goes on along the row: a running minimum over where it began.
+        across = np.minimum.accumulate(np.minimum(start - run, far)) + run
+    return int(min(match[-1], across[-1], below[-1]))
+
+
+def three_way(aligner: Aligner, a: Sequence[int], b: Sequence[int], c: Sequence[int]) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Least cost of three sequences and the columns (median, a, b, c); a column costs what its median does.
+
+    The table has as many cells as the product of the lengths, so this is for short sequences.
+    """
+    if aligner.gap in (*a, *b, *c):
+        raise ValueError("sequences without gaps are expected")
+    gap, known = aligner.gap, {}
+
+    def column(x: int, y: int, z: int) -> tuple[int, int]:
+        if (x, y, z) not in known:
+            known[x, y, z] = aligner.tcm.median(x, y, z)
+        return known[x, y, z]
+
+    steps = [(i, j, k) for i in (1, 0) for j in (1, 0) for k in (1, 0) if i or j or k]
+    best: dict[tuple[int, int, int], tuple[int, tuple[int, int, int] | None]] = {(0, 0, 0): (0, None)}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            for k in range(len(c) + 1):
+                if not (i or j or k):
+                    continue
+                found = None
+                for s in steps:
+                    before = best.get((i - s[0], j - s[1], k - s[2]))
+                    if before is None:
+                        continue
+                    total = before[0] + column(a[i - 1] if s[0] else gap, b[j - 1] if s[1] else gap, c[k - 1] if s[2] else gap)[1]
+                    if found is None or total < found[0]:
+                        found = total, s
+                best[i, j, k] = found
+    at, out = (len(a), len(b), len(c)), []
+    while best[at][1] is not None:
+        s = best[at][1]
+        x, y, z = (q[p - 1] if d else gap for q, p, d in zip((a, b, c), at, s, strict=True))
+        out.append((column(x, y, z)[0], x, y, z))
+        at = tuple(p - d for p, d in zip(at, s, strict=True))
+    return best[len(a), len(b), len(c)][0], out[::-1]

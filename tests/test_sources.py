@@ -269,3 +269,41 @@ def test_generated_data_sets(spark):
     assert {len(r.sequence) for r in rows.collect()} == {9} and rows.collect() == rows.collect()
     assert generators.fasta_difference(rows, rows).count() == 0
     assert generators.reduce_fastc({"a": [("x",), ("y",)], "b": [("x", "z")]}, 1) == {"a": [("x",)], "b": [("x",)]}
+
+
+def brute_affine(aligner, a, b, opening):
+    """All alignments of short sequences, one step at a time."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def go(i, j, last):
+        if i == len(a) and j == len(b):
+            return 0
+        found = []
+        if i < len(a) and j < len(b):
+            found.append(aligner.median(a[i], b[j])[1] + go(i + 1, j + 1, "m"))
+        if j < len(b):
+            found.append(aligner.median(aligner.gap, b[j])[1] + (last != "a") * opening + go(i, j + 1, "a"))
+        if i < len(a):
+            found.append(aligner.median(a[i], aligner.gap)[1] + (last != "b") * opening + go(i + 1, j, "b"))
+        return min(found)
+
+    return go(0, 0, "m")
+
+
+def test_affine_gaps_and_three_way():
+    from cladespark.operators.alignment import affine_cost, three_way
+
+    rng = random.Random(4)
+    aligner = Aligner(Tcm.of([[0, 2, 1, 2, 4], [2, 0, 2, 1, 4], [1, 2, 0, 2, 4], [2, 1, 2, 0, 4], [4, 4, 4, 4, 0]]))
+    draw = lambda n: tuple(1 << rng.randrange(4) for _ in range(n))
+    for _ in range(60):
+        a, b = draw(rng.randint(1, 6)), draw(rng.randint(1, 6))
+        for opening in (0, 1, 5):
+            assert affine_cost(aligner, a, b, opening) == brute_affine(aligner, a, b, opening)
+        assert affine_cost(aligner, a, b, 0) == aligner.cost(a, b)
+    for _ in range(10):
+        a, b = draw(5), draw(4)
+        cost, columns = three_way(aligner, a, b, b)
+        assert [x for _, x, _, _ in columns if x != 16] == list(a) and cost == sum(aligner.tcm.median(x, y, z)[1] for _, x, y, z in columns)
+        assert three_way(aligner, a, a, a)[0] == 0
