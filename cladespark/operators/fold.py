@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from cladespark.functions import intervals, masks
 from cladespark.operators.topology import Topology
 
+#: The array of states is copied at each merge, and the places of the leaves are broadcast.
+MOST_LEAVES = 4096
+
 
 class Plan:
     """Places of the nodes of a binary tree: leaves first, then inner nodes in post-order."""
@@ -23,6 +26,8 @@ class Plan:
         inner = [n for n in tree.postorder() if tree.children.get(n)]
         if any(len(tree.children[n]) != 2 for n in inner) or tree.reticulations:
             raise ValueError("a binary tree is needed")
+        if len(tree.leaves) > MOST_LEAVES:
+            raise ValueError(f"more than {MOST_LEAVES} leaves; operators.score takes larger trees")
         self.tree, self.leaves = tree, tree.leaves
         self.order = [*self.leaves, *inner]
         self.place = {n: i for i, n in enumerate(self.order)}
