@@ -16,7 +16,7 @@ from cladespark.sources.normalized import Character, Source
 
 @dataclass
 class State:
-    """What a script works on: characters (None if there are only graphs), graphs, and messages."""
+    """What a script works on: characters (None if there are only graphs), graphs."""
 
     obs: DataFrame | None = None
     characters: DataFrame | None = None
@@ -25,7 +25,6 @@ class State:
     costs: list[dict] = field(default_factory=list)
     taxa: list[str] = field(default_factory=list)
     metadata: list[tuple] = field(default_factory=list)
-    notes: list[str] = field(default_factory=list)
 
 
 def bin_of(c: Character) -> tuple[str, Tcm | None]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -22,13 +23,18 @@ from cladespark.sources.normalized import Source
 from cladespark.sources.tcm_file import parse_tcm
 
 VERSION = "0.1.0"
+LOG = logging.getLogger("cladespark")
 
 
 class Session:
-    """Commands as methods, and `run` for scripts. `say` gets what goes to the standard output."""
+    """Commands as methods, and `run` for scripts. `say` gets what goes to the standard output.
 
-    def __init__(self, spark: SparkSession, say: Callable[[str], None] = print, seed: int = 0):
-        self.spark, self.say, self.seed = spark, say, seed
+    With `autosave` the state is saved to that folder after each read and
+    build, so an interrupted script can go on from a load.
+    """
+
+    def __init__(self, spark: SparkSession, say: Callable[[str], None] = print, seed: int = 0, autosave: str | None = None):
+        self.spark, self.say, self.seed, self.autosave = spark, say, seed, autosave
         self.state: State | None = None
 
     def run(self, text: str) -> State | None:
@@ -44,6 +50,9 @@ class Session:
                 if self.state is None and not isinstance(command, (script.Read, script.Load)):
                     raise ComputeError("a script begins with read or load")
                 steps[type(command)](command)
+                LOG.info("%s", command)
+                if self.autosave and isinstance(command, (script.Read, script.Build)):
+                    self.save(script.Save(self.autosave))
         return self.state
 
     def main(self, text: str) -> int:

@@ -385,14 +385,47 @@ def _sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return obs, chars
 
 
-def dynamic_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct optimization of part names on a comb of the brands, rooted where each character is cheapest."""
-    obs, chars = _sequences(spark, sf_dir)
+def _comb(obs: DataFrame) -> Topology:
     taxa = [r.taxon for r in obs.select("taxon").distinct().orderBy("taxon").collect()]  # brands x 2
     comb = taxa[-1]
     for t in reversed(taxa[:-1]):
         comb = (t, comb)
-    tree = Topology.nested(comb)
+    return Topology.nested(comb)
+
+
+def implied_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of each character's implied alignment on the comb of the brands, as masks joined by commas."""
+    import pandas as pd
+
+    obs, _ = _sequences(spark, sf_dir)
+    tree, tcm = _comb(obs), tcms.default_tcm(5)
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        aligned = search.implied_alignment(tree, {r.taxon: list(r.seq) for r in rows.itertuples()}, tcm)
+        return pd.DataFrame([(int(rows.char_id.iloc[0]), t, len(m), ",".join(map(str, m))) for t, m in aligned.items()], columns=["char_id", "taxon", "columns", "sites"])
+
+    return obs.select("char_id", "taxon", "seq").groupBy("char_id").applyInPandas(each, "char_id int, taxon string, columns int, sites string")
+
+
+def edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each character on the comb: its cost with the root on each edge, and the total over the edges of disambiguated ends."""
+    import pandas as pd
+
+    obs, _ = _sequences(spark, sf_dir)
+    tree, tcm = _comb(obs), tcms.default_tcm(5)
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        sequences = {r.taxon: list(r.seq) for r in rows.itertuples()}
+        total = search.total_edge_cost(tree, sequences, tcm)
+        return pd.DataFrame([(int(rows.char_id.iloc[0]), a, b, c, total) for (a, b), c in search.best_roots(tree, sequences, tcm)], columns=["char_id", "a", "b", "cost", "edge_total"])
+
+    return obs.select("char_id", "taxon", "seq").groupBy("char_id").applyInPandas(each, "char_id int, a int, b int, cost long, edge_total long")
+
+
+def dynamic_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct optimization of part names on a comb of the brands, rooted where each character is cheapest."""
+    obs, chars = _sequences(spark, sf_dir)
+    tree = _comb(obs)
     return score.display_costs(obs, chars, tree, {0: tcms.default_tcm(5)}).select("char_id", "cost", "length")
 
 
@@ -490,7 +523,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     tcm_structure, tcm_factor, tcm_median, block_cost, static_cost, root_cost, dag_cost, taxon_outer_merge, missing_taxa, extra_taxa, duplicate_taxa, last_source_wins, pad_missing,
     distance_matrix_discrete, distance_matrix_interval, distance_matrix_dynamic, alphabet_histogram, observed_alphabet, most_common_state, argmin_with_ties, argmin_first, argmax_with_ties, functional_dependency, leaf_sets,
     node_kinds, network_edges, ancestor_closure, candidate_edges, insert_edge, connect_edge, prune_edges, contract_ids, display_products, soft_wired_resolutions, minimal_display_per_block, punitive_cost,
-    pairwise_alignment_cost, dynamic_length, wagner_build, network_build, cluster_single_cut, cluster_upgma, cluster_ward, fasta_parse, newick_parse,
+    pairwise_alignment_cost, dynamic_length, implied_alignment, edge_costs, wagner_build, network_build, cluster_single_cut, cluster_upgma, cluster_ward, fasta_parse, newick_parse,
 ]
 
 

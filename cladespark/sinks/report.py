@@ -42,6 +42,7 @@ def node_table(tree: Topology) -> str:
     return "\n".join([show(tree.roots), *("  " + " ".join(x.ljust(s) for x, s in zip(r, sizes, strict=True)).rstrip() for r in rows)])
 
 
+# The headings of the report.
 def data(graphs: list[Topology], costs: list[dict]) -> str:
     out = ["Solution:", "", "    Forest #0:"]
     for i, tree in enumerate(graphs):
