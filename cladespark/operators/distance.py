@@ -70,7 +70,7 @@ def _cost(kind: str, a, b, tcm: Tcm, aligner: Aligner | None) -> float:
         return max(0.0, max(a.lo, b.lo) - min(a.hi, b.hi))
     if kind == "dynamic":
         return 0.0 if a.seq is None or b.seq is None else float(aligner.cost(a.seq, b.seq))
-    if pd.isna(a.mask) or pd.isna(b.mask):
+    if a.mask < 0 or b.mask < 0:  # missing
         return 0.0
     return float(tcm.median(int(a.mask), int(b.mask))[1])
 

@@ -29,6 +29,8 @@ STATIC = ("continuous", "nonAdditive", "additive", "metric", "nonMetric")
 #: Characters of one task's group.
 CHUNK = 4096
 WIDEST = 1e300
+#: Stands for a missing mask in pandas, where a null would turn the column into floats, which hold 53 bits.
+UNKNOWN = -1
 
 
 def static_pass(tree: Topology, leaf_states: dict[int, np.ndarray], merge) -> tuple[dict[int, np.ndarray], np.ndarray | float]:
@@ -118,6 +120,7 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
     """(char_id, cost, length) of the characters in rows(taxon, char_id, bin, symbols, tcm_id, mask, lo, hi, seq)."""
     leaves = [n for n in tree.leaves]
     place = {tree.labels.get(n, str(n)): n for n in leaves}
+    order = {t: i for i, t in enumerate(place)}
     out = []
     for (kind, tcm_id), part in rows.groupby(["bin", pd.to_numeric(rows.tcm_id).fillna(-1).astype(int)], sort=True):
         chars = np.sort(part.char_id.unique())
@@ -125,6 +128,7 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
         known = part[part.taxon.isin(place)]
         at = known.char_id.map(column).to_numpy(int)
         node = known.taxon.map(place).to_numpy(int)
+        row = known.taxon.map(order).to_numpy(int)
         symbols = part.groupby("char_id").symbols.first().reindex(chars).to_numpy(int)
         lengths = np.zeros(len(chars))
         if kind == "dynamic":
@@ -140,17 +144,20 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
                 lengths[i] = sum(sizes) / len(sizes) if sizes else 0
                 costs[i] = sum(dynamic_cost(t, {n: states[n] for n in t.leaves}, aligner, reroot)[0] for t in components_of(tree))
         elif kind in ("continuous", "additive"):
-            table = {n: np.stack([np.full(len(chars), -WIDEST), np.full(len(chars), WIDEST)]) for n in leaves}
+            spans = np.empty((len(leaves), 2, len(chars)))
+            spans[:, 0], spans[:, 1] = -WIDEST, WIDEST
             lo, hi = known.lo.to_numpy(float), known.hi.to_numpy(float)
-            for k in np.flatnonzero(~np.isnan(lo) & ~np.isnan(hi)):
-                table[node[k]][:, at[k]] = lo[k], hi[k]
+            there = ~np.isnan(lo) & ~np.isnan(hi)
+            spans[row[there], 0, at[there]], spans[row[there], 1, at[there]] = lo[there], hi[there]
+            table = dict(zip(leaves, spans, strict=True))
             costs = np.broadcast_to(static_pass(tree, table, kernels.Interval().merge)[1], len(chars)).astype(float)
         else:
             full = (np.int64(1) << symbols) - 1
-            table = {n: full.copy() for n in leaves}
-            mask = known["mask"].astype("Int64")
-            for k in np.flatnonzero(mask.notna().to_numpy()):
-                table[node[k]][at[k]] = mask.iloc[k]
+            sets = np.tile(full, (len(leaves), 1))
+            mask = known["mask"].fillna(UNKNOWN).to_numpy(np.int64)
+            there = mask >= 0
+            sets[row[there], at[there]] = mask[there]
+            table = dict(zip(leaves, sets, strict=True))
             if kind == "nonAdditive":
                 costs = np.broadcast_to(static_pass(tree, table, kernels.Fitch().merge)[1], len(chars)).astype(float)
             else:
@@ -163,7 +170,7 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
 
 def _dealt(obs: DataFrame, characters: DataFrame) -> DataFrame:
     meta = characters.select("char_id", "bin", F.size("alphabet").alias("symbols"), "tcm_id")
-    return obs.join(meta, "char_id").withColumn("chunk", F.floor(F.col("char_id") / CHUNK).cast("long"))
+    return obs.withColumn("mask", F.coalesce("mask", F.lit(UNKNOWN).cast("long"))).join(meta, "char_id").withColumn("chunk", F.floor(F.col("char_id") / CHUNK).cast("long"))
 
 
 def display_costs(obs: DataFrame, characters: DataFrame, topology: Topology, tcms: dict[int, Tcm] | None = None, reroot: bool = True) -> DataFrame:
