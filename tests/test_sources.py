@@ -307,3 +307,15 @@ def test_affine_gaps_and_three_way():
         cost, columns = three_way(aligner, a, b, b)
         assert [x for _, x, _, _ in columns if x != 16] == list(a) and cost == sum(aligner.tcm.median(x, y, z)[1] for _, x, y, z in columns)
         assert three_way(aligner, a, a, a)[0] == 0
+
+
+def test_wide_alphabets_keep_every_bit(spark):
+    """Masks beyond 53 bits stay exact beside missing ones."""
+    from cladespark.operators.score import CHARACTERS, OBS, score
+
+    symbols = [str(i) for i in range(60)]
+    high = [1 << 59, (1 << 59) | 1, 1 << 58, None]
+    obs = spark.createDataFrame([(f"t{i}", 0, m, None, None, None) for i, m in enumerate(high)], OBS)
+    chars = spark.createDataFrame([(0, 0, "c", "nonAdditive", 1.0, symbols, None, "x")], CHARACTERS)
+    (tree,) = parse_newick("((t0,t1),(t2,t3));")
+    assert score(obs, chars, tree)["total"] == 1
