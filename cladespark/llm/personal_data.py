@@ -31,11 +31,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cladespark.llm import staging, words
 
@@ -229,8 +227,11 @@ def confident_patterns(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.pattern for r in scored if r.c >= CONFIDENT], np.int64).astype(np.uint64))
 
 
-def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = None, name: str = "spans") -> DataFrame:
-    """The carried columns, the text and, under `name`, its spans: array of (kind, start, end), by kind, then start."""
+def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = None, name: str = "spans", clean: bool = False) -> DataFrame:
+    """The carried columns, the text and, under `name`, its spans: array of (kind, start, end), by kind, then start.
+
+    With `clean` the text is the redacted one; the spans are still places in the text as it was.
+    """
     staging.small_batches(docs.sparkSession)
     carry = carry or []
     source = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col("text").cast("string").alias("text"))
@@ -248,8 +249,11 @@ def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = No
                         own, base = spans[row + int(tokens.doc[i])], tokens.place(i)
                         if not any(a < base + e and base + s < b for _, a, b in own):
                             own.append(("found", base + s, base + e))
-            out = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "spans"])
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
+            last = batch.column(batch.num_columns - 1)
+            if clean and any(found):
+                last = pa.array([redacted(t, x) for t, x in zip(last.to_pylist(), found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], last, pa.array(found, kind)], [*batch.schema.names, "spans"])
 
     kinds = dict(source.dtypes)
     schema = ", ".join([*[f"__c{i} {kinds[f'__c{i}']}" for i in range(len(carry))], "text string, spans array<struct<kind:string,start:long,end:long>>"])
@@ -272,11 +276,6 @@ def redacted(text: str | None, spans: list) -> str | None:
     return "".join([*out, text[done:]])
 
 
-@F.pandas_udf(T.StringType())
-def redact(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([redacted(t, [] if s is None else s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

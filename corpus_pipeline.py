@@ -44,8 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     patterns = personal_data.confident_patterns(docs)
     others = [c for c in docs.columns if c != "text"]
-    found = personal_data.spans_of(docs, patterns, others, "__spans")
-    clean = found.withColumn("text", F.when(F.size("__spans") > 0, personal_data.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    clean = personal_data.spans_of(docs, patterns, others, "__spans", clean=True)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
