@@ -80,7 +80,7 @@ def fingerprint(grams: np.ndarray) -> int:
 
 def signatures(docs: DataFrame, depth: int, trees: int = TREES, n: int = NGRAM) -> DataFrame:
     """(doc_id, key, node, grams, labels, signature); node is null where there are no n-grams."""
-    rng = np.random.Generator(np.random.PCG64(99))
+    rng = np.random.default_rng(99)
     factors = rng.integers(1, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_rng = np.random.Generator(np.random.PCG64(20240917))
+_rng = np.random.default_rng(20240917)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
