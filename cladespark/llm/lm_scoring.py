@@ -5,14 +5,18 @@ A document's score is the mean, over its words, of log S:
     S(b | a) = c(a b) / c(a)            if the bigram's count is MIN_COUNT or more
              = BACKOFF * c(b) / N       else; for a document's first word c(b) / N
 
-Counts are over all documents. The vocabulary is every word with at least one
-in MAX_WORDS of all occurrences, so it has at most MAX_WORDS entries however
-large the corpus is; all other words count as one unknown word.
-
-Words are hashed once per task and become vocabulary numbers, so a bigram is
-one long. Bigram rows (document, bigram, times) are dealt out by the bigram's
-hash, once: the count table is grouped from them and joined to them where
-they lie. A bigram has one row per document at most, whatever its frequency.
+Counts are over all documents and all words. Words with at least one in
+HELD_WORDS of all occurrences, HELD_WORDS at most however large the corpus is,
+are held by every task: they become numbers, so a bigram of two of them is one
+long. All other words stay 63-bit hashes; they and their bigrams are counted
+and looked up in shuffled tables only. No word is folded into another unless
+`max_words` asks for it.
+
+Bigram rows (document, bigram, times) are dealt out by the bigram's hash, once:
+the count table is grouped from them and joined to them where they lie. A bigram
+of held words has one row per document at most, whatever its frequency. Every
+occurrence of another word is one row that names its neighbours; such a word has
+fewer rows than one in HELD_WORDS of all words.
 
 Rows with one doc_id are scored as one document, a null among the ids. Texts
 that are null or without words have n_words 0 and score 0. Equal texts have
@@ -29,22 +33,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm import staging, words
+from cladespark.llm import ngram_join, staging, words
 
 BACKOFF, MIN_COUNT = 0.4, 2
-MAX_WORDS = 1_000_000
+HELD_WORDS = 1_000_000
 _BITS = 20
+#: Set in every hash of a word: as longs they are negative, numbers of held words are not.
+_SIGN = np.uint64(1 << 63)
 #: Different words that a task holds before it passes their counts on.
 _HELD = 1 << 20
 
 
 @dataclass
 class Vocabulary:
-    """Hashes in order, their numbers from 1, the count of each number (0: all other words) and of all words."""
+    """Hashes in order, their numbers from 1, the count of each number (0: all other words) and of all words.
+
+    `folded`: all other words are one unknown word.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     total: int
+    folded: bool
 
     def numbers(self, hashed: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -53,6 +63,10 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashed, at + 1, 0)
 
 
+def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return words.span_hashes(buf, start, end) | _SIGN
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): occurrences of each word's hash in docs(text)."""
 
@@ -66,7 +80,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, buf, bounds in words.slices(batch.column(0)):
                 start, end, _ = words.word_spans(buf, bounds)
-                parts.append(np.unique(words.span_hashes(buf, start, end), return_counts=True))
+                parts.append(np.unique(_hashes(buf, start, end), return_counts=True))
                 held += len(parts[-1][0])
                 if held > 2 * _HELD:
                     parts = [merged(parts)]
@@ -80,29 +94,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(each, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, limit: int = MAX_WORDS) -> Vocabulary:
-    counted = staging.stage(word_counts(docs), "lm-words")
+def vocabulary(counted: DataFrame, limit: int, folded: bool) -> Vocabulary:
+    """Of counted(word, n)."""
     total = counted.agg(F.sum("n")).first()[0] or 0
     frequent = counted.filter(F.col("n") * limit >= F.lit(total)).toPandas()  # `limit` rows at most
     hashes = frequent.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     counts = frequent.n.to_numpy(np.int64)[order]
-    return Vocabulary(hashes[order], np.concatenate([[total - int(counts.sum())], counts]), int(total))
+    return Vocabulary(hashes[order], np.concatenate([[total - int(counts.sum())], counts]), int(total), folded)
 
 
-def _numbered(column: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def _numbered(column: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
     for row, end, buf, bounds in words.slices(column):
         start, stop, doc = words.word_spans(buf, bounds)
-        yield row, vocab.numbers(words.span_hashes(buf, start, stop)), doc, end - row
+        hashed = _hashes(buf, start, stop)
+        yield row, vocab.numbers(hashed), hashed.view(np.int64), doc, end - row
 
 
 def bigrams(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(doc_id, gram, times): each document's bigrams, once each."""
+    """(doc_id, gram, times): each document's bigrams of numbered words, once each."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, number, doc, n in _numbered(batch.column(1), vocab):
-                same = np.flatnonzero(doc[1:] == doc[:-1])
+            for row, number, _, doc, n in _numbered(batch.column(1), vocab):
+                held = vocab.folded | (number > 0)
+                same = np.flatnonzero((doc[1:] == doc[:-1]) & held[1:] & held[:-1])
                 gram = number[same] << _BITS | number[same + 1]
                 # Documents of a slice are few enough for one key of document and bigram.
                 for low in range(0, n, 1 << 22):
@@ -115,14 +131,88 @@ def bigrams(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     return source.mapInArrow(each, f"doc_id {dict(source.dtypes)['doc_id']}, gram long, times int")
 
 
+def rare_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(word, doc_id, held, other) of each occurrence of a word that is not held.
+
+    `held` has the number of the word before it and of the one after it, 0 where
+    there is none or it is not held; `other` is the word before it if that is not held.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, number, hashed, doc, _ in _numbered(batch.column(1), vocab):
+                at = np.flatnonzero(number == 0)
+                if not len(at):
+                    continue
+                before, after = np.maximum(at - 1, 0), np.minimum(at + 1, len(number) - 1)
+                follows, leads = (at > 0) & (doc[before] == doc[at]), (after > at) & (doc[after] == doc[at])
+                held = np.where(follows, number[before], 0) << _BITS | np.where(leads, number[after], 0)
+                other = pa.array(hashed[before], mask=~(follows & (number[before] == 0)))
+                yield pa.RecordBatch.from_arrays([pa.array(hashed[at]), batch.column(0).take(pa.array(row + doc[at])), pa.array(held), other], ["word", "doc_id", "held", "other"])
+
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(each, f"word long, doc_id {dict(source.dtypes)['doc_id']}, held long, other long")
+
+
+def _times(*keys: np.ndarray) -> np.ndarray:
+    """Of each row, how many rows have its keys."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.cumsum(new) - 1
+    out = np.empty(len(order), np.int64)
+    out[order] = np.bincount(at)[at]
+    return out
+
+
+def rare_gains(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, backoff: float, min_count: int) -> DataFrame:
+    """(doc_id, n, x): of the words that are not held, log c(b) / N; of bigrams with such a word, their number and gains over backing off.
+
+    All rows of a word lie together, so its count and those of its bigrams are
+    known there. Only the count of a word before it that is not held either is
+    joined, to the bigrams in the table.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rare_rows(docs, vocab).repartition(parts, "word").sortWithinPartitions("word")
+    log_counts, log_total = np.log(np.maximum(vocab.counts, 1)), float(np.log(max(vocab.total, 1)))
+    gain_of_pair = log_total - float(np.log(backoff))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in ngram_join._groups(batches, 1):
+            word, held = table.column(0).to_numpy(), table.column(2).to_numpy()
+            other = table.column(3).fill_null(0).to_numpy()
+            log_word = np.log(_times(word))
+            x, n, ahead = log_word - log_total, np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+            for number in (held >> _BITS, held & ((1 << _BITS) - 1)):
+                sides = np.flatnonzero(number > 0)
+                times = _times(number[sides], word[sides])
+                sides, times = sides[times >= min_count], times[times >= min_count]
+                x[sides] += np.log(times) - log_counts[number[sides]] - log_word[sides] + gain_of_pair
+                n[sides] += 1
+            sides = np.flatnonzero(other)
+            times = _times(other[sides], word[sides])
+            sides, times = sides[times >= min_count], times[times >= min_count]
+            x[sides] += np.log(times) - log_word[sides] + gain_of_pair
+            n[sides] += 1
+            ahead[sides] = other[sides]
+            yield pa.RecordBatch.from_arrays([table.column(1).combine_chunks(), pa.array(n), pa.array(x), pa.array(ahead, mask=ahead == 0)], ["doc_id", "n", "x", "ahead"])
+
+    source = dealt.mapInArrow(gains, f"doc_id {dict(dealt.dtypes)['doc_id']}, n long, x double, ahead long")
+    parted = staging.stage(source.groupBy("doc_id", "ahead").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.count("*").alias("times")), "lm-rare")
+    logs = counted.select(F.col("word").alias("ahead"), F.log("n").alias("log_n"))
+    return parted.select("doc_id", "n", "x").unionByName(parted.filter("ahead is not null").join(logs, "ahead").select("doc_id", F.lit(0).cast("long").alias("n"), (-F.col("times") * F.col("log_n")).alias("x")))
+
+
 def backed_off(docs: DataFrame, vocab: Vocabulary, backoff: float = BACKOFF) -> DataFrame:
-    """(doc_id, n_words, base): the log score of each document if every word backed off."""
+    """(doc_id, n_words, base): the log score of each document if every word backed off; words without a number add nothing yet."""
     unigram = np.log(np.maximum(vocab.counts, 1)) - np.log(max(vocab.total, 1))
+    if not vocab.folded:
+        unigram[0] = 0
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, base = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for row, number, doc, n in _numbered(batch.column(1), vocab):
+            for row, number, _, doc, n in _numbered(batch.column(1), vocab):
                 n_words[row : row + n] = size = np.bincount(doc, minlength=n)
                 base[row : row + n] = np.bincount(doc, weights=unigram[number], minlength=n) + np.log(backoff) * np.maximum(size - 1, 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(base)], ["doc_id", "n_words", "base"])
@@ -131,13 +221,19 @@ def backed_off(docs: DataFrame, vocab: Vocabulary, backoff: float = BACKOFF) ->
     return source.mapInArrow(each, f"doc_id {dict(source.dtypes)['doc_id']}, n_words long, base double")
 
 
-def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_seen, log_score): n_seen of the words follow a bigram in the table; log_score is the sum of log S."""
-    if max_words >= 1 << _BITS:
+def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT, max_words: int | None = None, held: int = HELD_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_seen, log_score): n_seen of the words follow a bigram in the table; log_score is the sum of log S.
+
+    Without max_words every word counts for itself, and `held` only says how many
+    of them the tasks hold; with it, words below one in max_words are one unknown word.
+    """
+    limit = held if max_words is None else max_words
+    if limit >= 1 << _BITS:
         raise ValueError(f"at most {(1 << _BITS) - 1} words")
     spark = docs.sparkSession
     staging.small_batches(spark)
-    vocab = vocabulary(docs, max_words)
+    words_counted = staging.stage(word_counts(docs), "lm-words")
+    vocab = vocabulary(words_counted, limit, max_words is not None)
     log_counts = np.log(np.maximum(vocab.counts, 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The filter that the join implies, and a count that needs doc_id, make both uses of these rows equal: they are dealt out once.
@@ -154,6 +250,8 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = M
     table = counted.mapInArrow(gains, "g long, gain double").repartition(parts, "g")
     seen = dealt.join(table, F.col("gram") == F.col("g")).groupBy("doc_id").agg(F.sum(F.col("times") * F.col("gain")).alias("x"), F.sum("times").alias("n"))
     zero = F.lit(0)
+    if not vocab.folded and vocab.counts[0]:
+        seen = seen.select("doc_id", "n", "x").unionByName(rare_gains(docs, vocab, words_counted, backoff, min_count))
     both = seen.select("doc_id", zero.cast("long").alias("n_words"), F.col("n").cast("long").alias("n_seen"), "x").unionByName(backed_off(docs, vocab, backoff).select("doc_id", "n_words", zero.cast("long").alias("n_seen"), F.col("base").alias("x")))
     return both.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("x").alias("log_score"))
 

@@ -156,6 +156,40 @@ def test_scores_match_a_direct_count(docs, empty):
     assert lm_scoring.stupid_backoff(empty).count() == 0
 
 
+def test_words_that_no_task_holds_count_for_themselves(docs):
+    by_id = {}
+    for r in rows():
+        by_id.setdefault(r[0], []).append(WORD.findall(r[1] or ""))
+    u, b = Counter(), Counter()
+    for seqs in by_id.values():
+        for w in seqs:
+            u.update(w)
+            b.update(zip(w, w[1:]))
+    total = sum(u.values())
+    assert 0 < sum(n * 200 >= total for n in u.values()) < len(u)
+    for held in (200, 1):
+        for r in lm_scoring.stupid_backoff(docs, held=held).collect():
+            want = seen = n = 0
+            for seq in by_id[r.doc_id]:
+                n += len(seq)
+                for i, w in enumerate(seq):
+                    if i and b[seq[i - 1], w] >= 2:
+                        want += math.log(b[seq[i - 1], w] / u[seq[i - 1]])
+                        seen += 1
+                    else:
+                        want += math.log(u[w] / total) + (math.log(0.4) if i else 0)
+            assert (r.n_words, r.n_seen) == (n, seen) and r.log_score == pytest.approx(want, abs=1e-6)
+
+
+def test_a_word_below_one_in_a_million_is_no_unknown_word(spark):
+    texts = ["common " * 1_000_001, "rara avis", "rara avis", "other bird"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.stupid_backoff(frame).collect()}
+    total = 1_000_001 + 6
+    assert got[1].n_seen == 1 and got[1].log_score == pytest.approx(math.log(2 / total) + math.log(2 / 2), abs=1e-6)
+    assert got[3].n_seen == 0 and got[3].log_score == pytest.approx(2 * math.log(1 / total) + math.log(0.4), abs=1e-6)
+
+
 # 4: packing
 
 
