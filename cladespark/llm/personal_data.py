@@ -4,9 +4,8 @@ Base kinds are e-mail addresses, IP addresses, payment cards and phone numbers.
 They are the seeds of a bootstrap (as of Riloff and Jones, 1999):
 
 1. the one or two words before a token in which a seed begins induce a pattern;
-2. patterns seen before MIN_SEEDS different seeds, and before 1 in MAX_PATTERNS
-   of all such (pattern, seed) edges, are counted over the whole corpus: how
-   often they occur at all, and before which identifier-like tokens;
+2. patterns seen before MIN_SEEDS different seeds are counted over the whole
+   corpus: how often they occur at all, and before which identifier-like tokens;
 3. Spark scores the graph of patterns and instances: seeds count 1; a pattern
    is worth the share of its occurrences that lead to an instance, weighed by
    the instance's worth; an instance is worth 1 - product of (1 - pattern)
@@ -19,8 +18,8 @@ extract anything. An identifier-like token has 6 to 40 letters, digits or
 ./_- and 4 digits or more, is no base span, and is taken without the
 punctuation around it.
 
-At most MAX_PATTERNS patterns pass the second condition, so what is broadcast
-is bounded. A null text is empty; equal texts have equal spans; without seeds
+Tasks hold about BLOCK patterns at once; of more, each block is one more pass
+over the texts. Scores stay in staged tables. A null text is empty; equal texts have equal spans; without seeds
 only base spans are returned. Positions are code points, ends exclusive.
 """
 
@@ -39,7 +38,8 @@ from cladespark.llm import staging, words
 
 KINDS = ("email", "ip", "card", "phone", "found")
 BASE = KINDS[:4]
-MIN_SEEDS, MAX_PATTERNS, ROUNDS, CONFIDENT = 5, 10_000, 4, 0.8
+MIN_SEEDS, ROUNDS, CONFIDENT = 5, 4, 0.8
+BLOCK = 2_000_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -207,24 +207,28 @@ def confident_patterns(docs: DataFrame) -> np.ndarray:
     """Hashes of the patterns whose worth ends at CONFIDENT or more."""
     spark = docs.sparkSession
     staging.small_batches(spark)
-    seeded = staging.stage(seed_patterns(docs), "pii-patterns")
-    edges = seeded.agg(F.sum("seeds")).first()[0] or 0
-    chosen = [r.pattern for r in seeded.filter((F.col("seeds") >= MIN_SEEDS) & (F.col("seeds") * MAX_PATTERNS >= F.lit(edges))).select("pattern").collect()]  # MAX_PATTERNS at most
-    if not chosen:
+    seeded = staging.stage(seed_patterns(docs).filter(F.col("seeds") >= MIN_SEEDS), "pii-patterns")
+    blocks = -(-seeded.count() // BLOCK)
+    graph = None
+    for k in range(blocks):
+        block = seeded.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).select("pattern").toPandas().pattern.to_numpy(np.int64)
+        if len(block):
+            part = staging.stage(occurrences(docs, block), "pii-graph")
+            graph = part if graph is None else graph.unionByName(part)
+    if graph is None:
         return np.zeros(0, np.uint64)
-    graph = staging.stage(occurrences(docs, np.array(chosen, np.int64)), "pii-graph")
-    total = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
+    total = staging.stage(graph.groupBy("pattern").agg(F.sum("n").alias("total"), F.count("instance").alias("links")), "pii-total")
     links = graph.filter("instance is not null")
-    worth = links.select("instance", F.when(F.col("known"), 1.0).otherwise(0.0).alias("w")).groupBy("instance").agg(F.max("w").alias("w"))
-    for _ in range(ROUNDS):
-        sums = links.join(worth, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("s")).join(total, "pattern").select("pattern", (F.col("s") / F.col("total")).alias("c"))
-        scored = sums.collect()  # one row for each chosen pattern
-        local = spark.createDataFrame(scored, sums.schema)
-        if max(r.c for r in scored) < CONFIDENT / 2:
+    n_links = links.count()
+    worth = staging.stage(links.groupBy("instance").agg(F.max(F.when(F.col("known"), 1.0).otherwise(0.0)).alias("w"), F.count("*").alias("links")), "pii-worth")
+    for last in [False] * (ROUNDS - 1) + [True]:
+        sums = staging.lookup(links, worth, "instance", "links", n_links).groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+        scored = staging.stage(total.join(sums, "pattern").select("pattern", "links", (F.col("s") / F.col("total")).alias("c")), "pii-scored")
+        if last or scored.agg(F.max("c")).first()[0] < CONFIDENT / 2:
             break
         miss = F.product(1 - F.col("c"))
-        worth = staging.stage(links.join(F.broadcast(local), "pattern").groupBy("instance").agg(F.when(F.max("known"), 1.0).otherwise(1 - miss).alias("w")), "pii-worth")
-    return np.sort(np.array([r.pattern for r in scored if r.c >= CONFIDENT], np.int64).astype(np.uint64))
+        worth = staging.stage(staging.lookup(links, scored, "pattern", "links", n_links).groupBy("instance").agg(F.when(F.max("known"), 1.0).otherwise(1 - miss).alias("w"), F.count("*").alias("links")), "pii-worth")
+    return np.sort(scored.filter(F.col("c") >= CONFIDENT).select("pattern").toPandas().pattern.to_numpy(np.int64).astype(np.uint64))
 
 
 def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = None, name: str = "spans", clean: bool = False) -> DataFrame:
@@ -235,29 +239,42 @@ def spans_of(docs: DataFrame, patterns: np.ndarray, carry: list[str] | None = No
     staging.small_batches(docs.sparkSession)
     carry = carry or []
     source = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)], F.col("text").cast("string").alias("text"))
+    starts = range(0, max(len(patterns), 1), BLOCK)
+    for k in starts:
+        last = k == starts[-1]
+        source = _with_spans(source, patterns[k : k + BLOCK], clean and last)
+        source = source if last else staging.stage(source, "pii-spans")
+    return source.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "text", F.col("spans").alias(name))
+
+
+def _with_spans(source: DataFrame, patterns: np.ndarray, clean: bool) -> DataFrame:
+    """source(.., text) with its spans, or source(.., text, spans) with those of more patterns."""
+    carry, more = [c for c in source.columns if c not in ("text", "spans")], "spans" in source.columns
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
-            spans = [base_spans(x) for x in texts]
+            column = batch.column(len(carry))
+            texts = [x or "" for x in column.to_pylist()]
+            spans = [[(y["kind"], y["start"], y["end"]) for y in x] for x in batch.column(len(carry) + 1).to_pylist()] if more else [base_spans(x) for x in texts]
             if len(patterns):
-                for row, _, buf, bounds in words.slices(batch.column(batch.num_columns - 1)):
+                for row, _, buf, bounds in words.slices(column):
                     tokens = Tokens(buf, bounds)
                     at = np.unique(np.concatenate([_hits(p, patterns) for p in tokens.patterns]))
                     for i, s, e, _ in tokens.candidates(at):
                         own, base = spans[row + int(tokens.doc[i])], tokens.place(i)
                         if not any(a < base + e and base + s < b for _, a, b in own):
                             own.append(("found", base + s, base + e))
+            if more:
+                spans = [sorted(x, key=lambda y: (KINDS.index(y[0]), y[1])) for x in spans]
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
-            last = batch.column(batch.num_columns - 1)
             if clean and any(found):
-                last = pa.array([redacted(t, x) for t, x in zip(last.to_pylist(), found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], last, pa.array(found, kind)], [*batch.schema.names, "spans"])
+                column = pa.array([redacted(t, x) for t, x in zip(column.to_pylist(), found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], column, pa.array(found, kind)], [*carry, "text", "spans"])
 
     kinds = dict(source.dtypes)
-    schema = ", ".join([*[f"__c{i} {kinds[f'__c{i}']}" for i in range(len(carry))], "text string, spans array<struct<kind:string,start:long,end:long>>"])
-    return source.mapInArrow(each, schema).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], "text", F.col("spans").alias(name))
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in carry], "text string, spans array<struct<kind:string,start:long,end:long>>"])
+    return source.mapInArrow(each, schema)
 
 
 def redacted(text: str | None, spans: list) -> str | None:

@@ -510,6 +510,20 @@ def test_contexts_discover_identifiers(spark, empty):
     assert "QX-8841-77" not in clean and "<found>" in clean
 
 
+def test_contexts_count_whatever_else_the_corpus_holds(spark, monkeypatch):
+    data = [(i, " ".join(f"w{i}x{k} user{i}.{k}@mail.example.com" for k in range(100))) for i in range(300)]
+    data += [(1000 + i, f"account holder: owner{i}@mail.example.com") for i in range(5)]
+    data += [(2000, "é account holder: QX-8841-77 and ip 10.0.0.1")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    for block in (personal_data.BLOCK, 1):
+        monkeypatch.setattr(personal_data, "BLOCK", block)
+        patterns = personal_data.confident_patterns(frame)
+        assert len(patterns) == 2
+        (r,) = personal_data.spans_of(frame.filter("doc_id = 2000"), patterns, ["doc_id"], clean=True).collect()
+        assert [(s.kind, data[-1][1][s.start : s.end]) for s in r.spans] == [("ip", "10.0.0.1"), ("found", "QX-8841-77")]
+        assert r.text == "é account holder: <found> and ip <ip>"
+
+
 def test_redaction_merges_overlaps():
     spans = [{"kind": "card", "start": 2, "end": 8}, {"kind": "ip", "start": 6, "end": 10}, {"kind": "email", "start": 12, "end": 14}]
     assert personal_data.redacted("ab012345678xyz@!", spans) == "ab<card>8xy"[:0] + "ab<card>" + "ab012345678xyz@!"[10:12] + "<email>" + "ab012345678xyz@!"[14:]
