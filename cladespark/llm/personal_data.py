@@ -224,7 +224,7 @@ def confident_patterns(docs: DataFrame) -> np.ndarray:
     for last in [False] * (ROUNDS - 1) + [True]:
         sums = staging.lookup(links, worth, "instance", "links", n_links).groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
         scored = staging.stage(total.join(sums, "pattern").select("pattern", "links", (F.col("s") / F.col("total")).alias("c")), "pii-scored")
-        if last or scored.agg(F.max("c")).first()[0] < CONFIDENT / 2:
+        if last:
             break
         miss = F.product(1 - F.col("c"))
         worth = staging.stage(staging.lookup(links, scored, "pattern", "links", n_links).groupBy("instance").agg(F.when(F.max("known"), 1.0).otherwise(1 - miss).alias("w"), F.count("*").alias("links")), "pii-worth")

@@ -524,6 +524,14 @@ def test_contexts_count_whatever_else_the_corpus_holds(spark, monkeypatch):
         assert r.text == "é account holder: <found> and ip <ip>"
 
 
+def test_contexts_rise_over_all_rounds(spark):
+    data = [(i, f"account holder: user{i}@mail.example.com") for i in range(10)] + [(100 + i, f"account holder: QX-88{i:02d}-77") for i in range(40)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    patterns = personal_data.confident_patterns(frame)
+    assert len(patterns) == 2
+    assert all([s.kind for s in r.spans] == ["found" if r.doc_id >= 100 else "email"] for r in personal_data.spans_of(frame, patterns, ["doc_id"]).collect())
+
+
 def test_redaction_merges_overlaps():
     spans = [{"kind": "card", "start": 2, "end": 8}, {"kind": "ip", "start": 6, "end": 10}, {"kind": "email", "start": 12, "end": 14}]
     assert personal_data.redacted("ab012345678xyz@!", spans) == "ab<card>8xy"[:0] + "ab<card>" + "ab012345678xyz@!"[10:12] + "<email>" + "ab012345678xyz@!"[14:]
