@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm import staging, words
+from cladespark.llm import ngram_join, staging, words
 
 #: Buckets of the multinomials: what is broadcast is this many floats, whatever the input.
 BUCKETS = 1 << 16
 #: Bytes of an n-gram.
 ORDER = 2
-#: Trusted rows at most; they are those of the smallest hashes of doc_id, so a rerun takes the same.
-TRUSTED_ROWS = 20_000
 #: Documents below this mean log ratio are rejected.
 THRESHOLD = -0.27
 #: The corpus counts as this many n-grams of the trusted multinomial for each 1000 of its own.
@@ -153,11 +151,10 @@ def judge(docs: DataFrame, id_column: str, text_column: str, weights: np.ndarray
     return source.mapInArrow(each, schema)
 
 
-def trusted_ids(spark: SparkSession, sf_dir: str, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `rows` documents that the labels call good and not toxic."""
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that the labels call good and not toxic, once each."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("x")).filter("q = 1 and x = 0")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("x")).filter("q = 1 and x = 0").select("doc_id")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -168,9 +165,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, carry: list
     ratios are 0 and the base rules decide alone.
     """
     staging.small_batches(spark)
-    known = trusted_ids(spark, sf_dir).select(F.col("doc_id").alias("__doc"), F.lit(True).alias("__good"))
-    marked = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("__text")).join(F.broadcast(known), "__doc", "left")
-    every, good = multinomials(marked, "__text", "__good")
+    known = staging.stage(trusted_ids(spark, sf_dir).select(F.col("doc_id").cast("long").alias("key")), "trusted")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    # Ids of any number are shuffled with the texts that a bounded bit table lets through, not with all texts.
+    trusted = ngram_join._sifted(texts, known).join(known, "key", "left_semi")
+    every, _ = multinomials(docs.select("text", F.lit(False).alias("__good")), "text", "__good")
+    _, good = multinomials(trusted.select("text", F.lit(True).alias("__good")), "text", "__good")
     return judge(docs, "doc_id", "text", log_ratios(every, good), threshold, carry)
 
 

@@ -427,6 +427,19 @@ def test_ratio_matches_a_direct_count_and_rejects_what_is_unlike(spark, tmp_path
         assert got[d].kept == (d < 100 and not got[d].base_failed)
 
 
+def test_all_trusted_rows_count(spark, tmp_path):
+    spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality_rules.trusted_ids(spark, str(tmp_path)).count() == 20_500
+    frame = spark.range(20_600).selectExpr("id as doc_id", "if(id < 20500, if(id % 2 = 0, 'ab', concat('c', char(97 + cast(id % 26 as int)))), 'xy') as text")
+    texts = [r.text for r in frame.orderBy("doc_id").collect()]
+    every, trusted = Counter(texts), Counter(texts[:20_500])
+    prior = 20_500 / 1000
+    for r in quality_rules.quality_rules(spark, frame, str(tmp_path)).filter("doc_id < 60 or doc_id >= 20590").collect():
+        g = texts[r.doc_id]
+        p = every[g] / 20_600
+        assert r.ratio == pytest.approx(math.log((trusted[g] + prior * p) / (20_500 + prior) / p), abs=1e-6)
+
+
 def test_rules_without_labels_or_rows(spark, docs, empty, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert all(r.kept == (not r.base_failed) and r.ratio == 0 for r in quality_rules.quality_rules(spark, docs, str(tmp_path)).collect())
