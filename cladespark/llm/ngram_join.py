@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark.llm import components, staging, words
@@ -115,9 +115,18 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES, n: int = NGRAM)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a key that is never null, and the text."""
+    """doc_id, a key that only rows with equal id and text share, and the text."""
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), text.alias("text"))
+    return docs.select("doc_id", row_key(docs).alias("key"), text.alias("text"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def _first(doc_id: str) -> Column:
+    """Key of the row with the smallest id, null ids last."""
+    return F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("key")))["key"]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -286,7 +295,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     depth = prefix_depth(threshold, trees, deepest, recall)
     signed = staging.stage(signatures(docs, depth, trees, n), "signatures")
     full = signed.filter("node is not null")
-    nodes = full.groupBy("node").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("grams").alias("grams"), F.first("labels").alias("labels"), F.first("signature").alias("signature"))
+    nodes = full.groupBy("node").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("least"), _first("doc_id").alias("key"), F.first("grams").alias("grams"), F.first("labels").alias("labels"), F.first("signature").alias("signature"))
     nodes = staging.stage(nodes, "nodes")
     tied = components.components(ties(nodes, int(np.ceil(SLACK * trees * depth))))
     members = staging.stage(tied.join(nodes.select("node", "key", "grams"), "node"), "members")
@@ -295,7 +304,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     counted = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = nodes.select("node", "n_copies", "least", "key").join(classes, "node", "left").join(counted, "node", "left")
     known = staging.stage(known.withColumn("root", F.coalesce("root", "node")).fillna(0, ["n_links"]), "known")
-    first = known.groupBy("root").agg(F.min("least").alias("class_id"), F.min("key").alias("class_key"), F.count("*").alias("class_nodes"))
+    first = known.groupBy("root").agg(F.min("least").alias("class_id"), _first("least").alias("class_key"), F.count("*").alias("class_nodes"))
     total = nodes.agg(F.count("*"), F.sum("n_copies")).first()
     first = staging.stage(first, "classes")
     named = staging.stage(staging.lookup(known, first, "root", "class_nodes", total[0]).select("node", "class_id", "class_key", "n_links", "n_copies"), "named")

@@ -30,12 +30,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with the key of their class stay; of repeated rows with that key, one.
 
+    A key stands for an id and a text, so unlike texts with one id stay apart.
     Keys of the classes are at most as many as rows, so the join is a shuffled
-    one on the key, which is unique but for repeated ids.
+    one on the key, which is unique but for repeated rows.
     """
     classes = ngram_join.jaccard_classes(docs)
     first = classes.filter(F.col("key").eqNullSafe(F.col("class_key"))).select(F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    keyed = docs.withColumn("__key", ngram_join.row_key(docs))
     kept = keyed.join(first, "__key", "left_semi")
     rank = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]))
     return kept.withColumn("__rank", rank).filter("__rank = 1").select(*docs.columns)

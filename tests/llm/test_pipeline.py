@@ -44,6 +44,14 @@ def survivors(rows):
     return {d for d in ids if find(d) == d}
 
 
+def test_unlike_texts_with_one_id_are_no_near_copies(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(7, one, "en", "s", 1), (7, two, "en", "s", 1), (3, one, "en", "s", 1), (7, two, "en", "s", 1), (9, two, "en", "s", 1), (None, two, "en", "s", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, frame, DATA).collect()]
+    assert sorted(got) == [(3, one), (7, two)]
+
+
 def test_stages_do_what_they_say(spark):
     docs = staging.documents(spark, DATA)
     out = {}
