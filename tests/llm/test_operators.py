@@ -120,6 +120,15 @@ def test_classifier_without_labels(spark, docs, empty):
     assert byte_cnn.fit(spark, docs, one) == 1.0
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    usable = labels.filter(byte_cnn.fold(labels.doc_id) != 1)
+    (first,) = usable.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").limit(1).select("doc_id").first()
+    frame = usable.selectExpr("doc_id", f"if(doc_id = {first}, repeat('long ', 1000), 'short') as text")
+    texts, y = byte_cnn.sample(spark, frame, labels, limit=4000)
+    assert texts == ["short"] * (usable.count() - 1) and set(y.tolist()) == {0, 1}
+
+
 # 3: language model
 
 
