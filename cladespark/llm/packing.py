@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from cladespark.llm import staging
 
 WINDOW, CLOSING = 2048, 1
-#: Words whose ids a Python worker keeps; the store is emptied when full.
-KEPT_WORDS = 120_000
+#: Words in each of the two generations of a Python worker's store: when the young one is full it becomes the old
+#: one, and words that are met again move over, so frequent words stay.
+KEPT_WORDS = 150_000
 #: Up to this many partitions, their first offsets are broadcast.
 BROADCAST_PARTITIONS = 500_000
 #: Texts of these characters alone are cut into words here: for them lower case, NFC and the classes of
@@ -44,31 +45,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.known: dict[str, bytes] = {}
+        self.tokenize = self.whole.model.tokenize
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.special = [x["content"] for x in json.loads(Path(path).read_text()).get("added_tokens", [])]
+        self.coded = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shifted = iter(range(256, 512))
         self.letters = [chr(b) if b in plain else "" for b in range(256)]
         self.letters = [x or chr(next(shifted)) for x in self.letters]
 
     def _piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            found = self.known[piece] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return found
+        spelled = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.tokenize(spelled)])
 
     def _word(self, word: str) -> bytes:
-        found = b"".join(map(self._piece, _PIECE.findall(word)))
-        self.known[word] = found
+        """Ids of a word that the young generation lacks; a run of letters is one piece."""
+        found = self.old.get(word)
+        if found is None:
+            if word.isalpha() or len(parts := _PIECE.findall(word)) == 1:
+                found = self._piece(word)
+            else:
+                get, other = self.young.get, self._word
+                found = b"".join([get(x) or other(x) for x in parts])
+        self.young[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and not any(x in text for x in self.special):
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            get, word = self.known.get, self._word
+            if len(self.young) > KEPT_WORDS:
+                self.old, self.young = self.young, {}
+            get, word = self.young.get, self._word
             return b"".join([get(w) or word(w) for w in text.lower().split()])
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
