@@ -121,7 +121,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    return F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
 
 
 def _first(doc_id: str) -> Column:

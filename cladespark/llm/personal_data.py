@@ -26,8 +26,10 @@ only base spans are returned. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,8 @@ MIN_SEEDS, ROUNDS, CONFIDENT = 5, 4, 0.8
 BLOCK = 2_000_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: From the first digit of a run only, as no other one of it can do better: a long run is looked at once.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LIKE = re.compile(r"[A-Za-z0-9][A-Za-z0-9./_-]{4,38}[A-Za-z0-9]")
@@ -76,7 +79,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base kinds, by kind, then start."""
     found = [("email", s, e) for s, e in emails(text)] if "@" in text else []
-    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
             found.append(("card", m.start(), m.end()))
@@ -114,10 +117,14 @@ class Tokens:
     def token(self, i: int) -> str:
         return self.buf[self.start[i] : self.end[i]].tobytes().decode(errors="replace")
 
+    @cached_property
+    def points(self) -> np.ndarray:
+        """Code points before each byte."""
+        return np.concatenate([[0], np.cumsum((self.buf & 0xC0) != 0x80)])
+
     def place(self, i: int) -> int:
         """Code points in the document before word i."""
-        lead = self.buf[self.bounds[self.doc[i]] : self.start[i]]
-        return int(((lead & 0xC0) != 0x80).sum())
+        return int(self.points[self.start[i]] - self.points[self.bounds[self.doc[i]]])
 
     def seeds(self, texts: list[str], row: int) -> dict[int, int]:
         """Word in which a base span begins -> hash of the span."""
@@ -126,9 +133,9 @@ class Tokens:
             spans = base_spans(texts[row + d])
             if not spans:
                 continue
-            text, base = texts[row + d], int(self.bounds[d])
+            text, first = texts[row + d], self.points[self.bounds[d]]
             for kind, s, e in spans:
-                at = base + len(text[:s].encode())
+                at = int(np.searchsorted(self.points, first + s, "right")) - 1
                 i = int(np.searchsorted(self.start, at, "right")) - 1
                 value = np.frombuffer(f"{kind}:{text[s:e]}".encode(), np.uint8)
                 found.setdefault(i, int(words.span_hashes(value, np.array([0]), np.array([len(value)]))[0].astype(np.int64)))
@@ -261,10 +268,15 @@ def _with_spans(source: DataFrame, patterns: np.ndarray, clean: bool) -> DataFra
                 for row, _, buf, bounds in words.slices(column):
                     tokens = Tokens(buf, bounds)
                     at = np.unique(np.concatenate([_hits(p, patterns) for p in tokens.patterns]))
+                    owner, starts, ends = -1, [], []
                     for i, s, e, _ in tokens.candidates(at):
-                        own, base = spans[row + int(tokens.doc[i])], tokens.place(i)
-                        if not any(a < base + e and base + s < b for _, a, b in own):
-                            own.append(("found", base + s, base + e))
+                        if owner != row + int(tokens.doc[i]):
+                            owner = row + int(tokens.doc[i])
+                            starts, ends = _covered(spans[owner])
+                        base = tokens.place(i)
+                        before = bisect_left(starts, base + e) - 1
+                        if before < 0 or ends[before] <= base + s:
+                            spans[owner].append(("found", base + s, base + e))
             if more:
                 spans = [sorted(x, key=lambda y: (KINDS.index(y[0]), y[1])) for x in spans]
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
@@ -277,6 +289,18 @@ def _with_spans(source: DataFrame, patterns: np.ndarray, clean: bool) -> DataFra
     return source.mapInArrow(each, schema)
 
 
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that the spans cover, in order."""
+    starts, ends = [], []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def redacted(text: str | None, spans: list) -> str | None:
     """text with each run of overlapping spans replaced by the kind of its first one."""
     if text is None or not len(spans):

@@ -39,7 +39,8 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 _ASSIGN = re.compile(rb"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _TOKEN = re.compile(rb"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
+_JWT_RUN = re.compile(rb"[A-Za-z0-9_-]++")
 _PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm", "eyj": "jwt", "-----begin ": "pem"}
 _EXPRESSIONS = {"assign": _ASSIGN, "access": _ACCESS, "github": _TOKEN, "npm": _TOKEN, "jwt": _JWT, "pem": _PEM}
@@ -75,9 +76,10 @@ def _valid(kind: str, m: re.Match) -> bool:
         return base62(zlib.crc32(m[1]), 6).encode() == m[2]
     if kind == "jwt":
         try:
-            return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + b"=" * (-len(m[1]) % 4)))
-        except (ValueError, TypeError):
+            header = json.loads(base64.urlsafe_b64decode(m[1] + b"=" * (-len(m[1]) % 4)))
+        except (ValueError, RecursionError):
             return False
+        return isinstance(header, dict) and "alg" in header
     return True
 
 
@@ -99,7 +101,11 @@ def scan(text: str | None, machine) -> list[tuple[int, int, str]]:
     done = dict.fromkeys(KINDS, 0)
     hits = sorted((at - n + 1, kind) for at, (n, kind) in machine.iter(data.lower().decode("latin-1")))
     for at, kind in hits:
-        if at < done[kind] or not (m := _EXPRESSIONS[kind].match(data, at)):
+        if at < done[kind]:
+            continue
+        if not (m := _EXPRESSIONS[kind].match(data, at)):
+            if kind == "jwt":  # nor does any other start in this run match, so it is not walked again
+                done[kind] = _JWT_RUN.match(data, at).end()
             continue
         done[kind] = m.end()
         if _valid(kind, m):

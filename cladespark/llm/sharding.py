@@ -4,6 +4,7 @@ A row's shard follows from its key and the number of shards alone, with no
 table of the ring. When shards are appended, a row stays or moves into a new
 shard, and only the needed fraction moves.
 
+Keys of whole numbers are taken as they are, others by a hash of 64 bits.
 Null keys count as the key 0. Rows with equal keys share a shard.
 """
 
@@ -44,6 +45,13 @@ def shard_of(key: Column, shards: int) -> Column:
     return each(F.coalesce(key.cast("long"), F.lit(0)))
 
 
+def key_of(rows: DataFrame, column: str) -> Column:
+    """A 64-bit key of a column of any type."""
+    if dict(rows.dtypes)[column] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(column).cast("long")
+    return F.when(F.col(column).isNotNull(), F.xxhash64(column))
+
+
 def with_slots(rows: DataFrame, shard: str, order: list[str], runs: int = RUNS) -> DataFrame:
     """rows with `slot`, 0 and up in each shard without gaps.
 
@@ -66,6 +74,7 @@ def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = staging.documents(spark, sf_dir)
     text = staging.text_column()
     sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sized.withColumn("shard", shard_of(F.col("doc_id"), SHARDS)).withColumn("grown_shard", shard_of(F.col("doc_id"), SHARDS + 1))
+    key = key_of(sized, "doc_id")
+    placed = sized.withColumn("shard", shard_of(key, SHARDS)).withColumn("grown_shard", shard_of(key, SHARDS + 1))
     out = with_slots(placed, "shard", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")
