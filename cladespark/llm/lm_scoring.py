@@ -13,8 +13,10 @@ and looked up in shuffled tables only. No word is folded into another unless
 `max_words` asks for it.
 
 Bigram rows (document, bigram, times) are dealt out by the bigram's hash, once:
-the count table is grouped from them and joined to them where they lie. A bigram
-of held words has one row per document at most, whatever its frequency. Every
+the count table is grouped from them and joined to them where they lie. Words
+with at least one in SHARE of all occurrences are SHARE at most, so the counts of
+bigrams of two of them are bounded: tasks add them up and hold them, and none of
+their rows is dealt. Any other bigram has fewer rows than one in SHARE of all words. Every
 occurrence of another word is one row that names its neighbours; such a word has
 fewer rows than one in HELD_WORDS of all words.
 
@@ -37,6 +39,7 @@ from cladespark.llm import ngram_join, staging, words
 
 BACKOFF, MIN_COUNT = 0.4, 2
 HELD_WORDS = 1_000_000
+SHARE = 1000
 _BITS = 20
 #: Set in every hash of a word: as longs they are negative, numbers of held words are not.
 _SIGN = np.uint64(1 << 63)
@@ -62,6 +65,12 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashed, at + 1, 0)
 
+    def frequent(self) -> np.ndarray:
+        """Which numbers are of words with one in SHARE of all occurrences or more."""
+        out = self.counts * SHARE >= max(self.total, 1)
+        out[0] &= self.folded
+        return out
+
 
 def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return words.span_hashes(buf, start, end) | _SIGN
@@ -111,14 +120,44 @@ def _numbered(column: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, np.nda
         yield row, vocab.numbers(hashed), hashed.view(np.int64), doc, end - row
 
 
+def frequent_bigrams(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of two frequent words, in order, and their counts: SHARE * SHARE at most."""
+    frequent = vocab.frequent()
+    if not frequent.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chosen = np.flatnonzero(frequent)
+    # Numbers follow the order of the hashes, so those of a smaller vocabulary do as well.
+    few = Vocabulary(vocab.hashes[chosen[chosen > 0] - 1], np.zeros(1 + int((chosen > 0).sum()), np.int64), vocab.total, False)
+    number_of = np.concatenate([[0], chosen[chosen > 0]])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(len(number_of) ** 2, np.int64)
+        for batch in batches:
+            for _, number, _, doc, _ in _numbered(batch.column(0), few if frequent[0] == 0 else vocab):
+                if frequent[0]:
+                    number = np.where(frequent[number], np.searchsorted(number_of, number), -1)
+                else:
+                    number = np.where(number > 0, number, -1)
+                same = (doc[1:] == doc[:-1]) & (number[1:] >= 0) & (number[:-1] >= 0)
+                at, times = np.unique(number[:-1][same] * len(number_of) + number[1:][same], return_counts=True)
+                cells[at] += times
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(number_of[at // len(number_of)] << _BITS | number_of[at % len(number_of)]), pa.array(cells[at])], ["gram", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    order = np.argsort(counted.gram.to_numpy(np.int64))
+    return counted.gram.to_numpy(np.int64)[order], counted.n.to_numpy(np.int64)[order]
+
+
 def bigrams(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(doc_id, gram, times): each document's bigrams of numbered words, once each."""
+    """(doc_id, gram, times): each document's bigrams of numbered words, not both frequent, once each."""
+    frequent = vocab.frequent()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, number, _, doc, n in _numbered(batch.column(1), vocab):
-                held = vocab.folded | (number > 0)
-                same = np.flatnonzero((doc[1:] == doc[:-1]) & held[1:] & held[:-1])
+                held, often = vocab.folded | (number > 0), frequent[number]
+                same = np.flatnonzero((doc[1:] == doc[:-1]) & held[1:] & held[:-1] & ~(often[1:] & often[:-1]))
                 gram = number[same] << _BITS | number[same + 1]
                 # Documents of a slice are few enough for one key of document and bigram.
                 for low in range(0, n, 1 << 22):
@@ -203,22 +242,34 @@ def rare_gains(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, backoff:
     return parted.select("doc_id", "n", "x").unionByName(parted.filter("ahead is not null").join(logs, "ahead").select("doc_id", F.lit(0).cast("long").alias("n"), (-F.col("times") * F.col("log_n")).alias("x")))
 
 
-def backed_off(docs: DataFrame, vocab: Vocabulary, backoff: float = BACKOFF) -> DataFrame:
-    """(doc_id, n_words, base): the log score of each document if every word backed off; words without a number add nothing yet."""
+def backed_off(docs: DataFrame, vocab: Vocabulary, held: tuple[np.ndarray, np.ndarray], backoff: float = BACKOFF) -> DataFrame:
+    """(doc_id, n_words, n_seen, base): the log score of each document if every word backed off but those after a frequent word in a bigram that tasks hold.
+
+    `held`: those bigrams in order, and their gains over backing off. Words without a number add nothing yet.
+    """
     unigram = np.log(np.maximum(vocab.counts, 1)) - np.log(max(vocab.total, 1))
     if not vocab.folded:
         unigram[0] = 0
+    frequent, (grams, gain) = vocab.frequent(), held
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, base = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n_words, n_seen, base = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for row, number, _, doc, n in _numbered(batch.column(1), vocab):
                 n_words[row : row + n] = size = np.bincount(doc, minlength=n)
                 base[row : row + n] = np.bincount(doc, weights=unigram[number], minlength=n) + np.log(backoff) * np.maximum(size - 1, 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(base)], ["doc_id", "n_words", "base"])
+                if len(grams):
+                    often = frequent[number]
+                    same = np.flatnonzero((doc[1:] == doc[:-1]) & often[1:] & often[:-1])
+                    gram = number[same] << _BITS | number[same + 1]
+                    at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+                    same, at = same[grams[at] == gram], at[grams[at] == gram]
+                    n_seen[row : row + n] = np.bincount(doc[same], minlength=n)
+                    base[row : row + n] += np.bincount(doc[same], weights=gain[at], minlength=n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_seen), pa.array(base)], ["doc_id", "n_words", "n_seen", "base"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(each, f"doc_id {dict(source.dtypes)['doc_id']}, n_words long, base double")
+    return source.mapInArrow(each, f"doc_id {dict(source.dtypes)['doc_id']}, n_words long, n_seen long, base double")
 
 
 def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = MIN_COUNT, max_words: int | None = None, held: int = HELD_WORDS) -> DataFrame:
@@ -241,18 +292,22 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, min_count: int = M
     counted = dealt.groupBy("gram").agg(F.sum("times").alias("n"), F.count("doc_id").alias("n_docs")).filter(F.col("n") >= min_count)
     gain_of_pair = float(np.log(max(vocab.total, 1)) - np.log(backoff))
 
+    def gain(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.log(n) - log_counts[gram >> _BITS] - log_counts[gram & ((1 << _BITS) - 1)] + gain_of_pair
+
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            gain = np.log(n) - log_counts[gram >> _BITS] - log_counts[gram & ((1 << _BITS) - 1)] + gain_of_pair
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain)], ["g", "gain"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["g", "gain"])
+
+    often, times = frequent_bigrams(docs, vocab)
+    often, times = often[times >= min_count], times[times >= min_count]
 
     table = counted.mapInArrow(gains, "g long, gain double").repartition(parts, "g")
     seen = dealt.join(table, F.col("gram") == F.col("g")).groupBy("doc_id").agg(F.sum(F.col("times") * F.col("gain")).alias("x"), F.sum("times").alias("n"))
     zero = F.lit(0)
     if not vocab.folded and vocab.counts[0]:
         seen = seen.select("doc_id", "n", "x").unionByName(rare_gains(docs, vocab, words_counted, backoff, min_count))
-    both = seen.select("doc_id", zero.cast("long").alias("n_words"), F.col("n").cast("long").alias("n_seen"), "x").unionByName(backed_off(docs, vocab, backoff).select("doc_id", "n_words", zero.cast("long").alias("n_seen"), F.col("base").alias("x")))
+    both = seen.select("doc_id", zero.cast("long").alias("n_words"), F.col("n").cast("long").alias("n_seen"), "x").unionByName(backed_off(docs, vocab, (often, gain(often, times)), backoff).withColumnRenamed("base", "x"))
     return both.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("x").alias("log_score"))
 
 

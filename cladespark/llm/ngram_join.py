@@ -4,15 +4,21 @@ A document is the set of its runs of NGRAM words; one with fewer words is one
 run, one without words has none and is alone. Documents with equal sets are
 one node, so copies, however many, cost one node.
 
-1. Each node gets TREES labels. A label is a path in a prefix tree of MinHash
-   values; sorting by label is the tree, and nodes with an equal prefix of
-   `depth` values are candidates. Starting from DEEPEST, the prefix is shortened
-   until 1 - (1 - t ** depth) ** TREES, the share of pairs at the threshold t
-   that meet in some tree, is RECALL or more.
-2. Nodes that share a prefix are compared by all their MinHash values; those
-   with an estimate of at least SLACK are tied. Large prefixes are cut into
-   blocks and compared block by block, so no task holds more than two blocks,
-   nothing is capped, and only one tie for each node and block is passed on.
+1. Each node has a path of DEEPEST MinHash values in each of TREES trees. Sorted
+   by path, a tree is a prefix trie, and nodes with an equal prefix are
+   candidates. `floor_depth` is the longest prefix at which pairs at the
+   threshold t are met with probability RECALL, 1 - (1 - t ** depth) ** TREES;
+   paths whose prefix of that length nobody shares are dropped.
+2. From DEEPEST on, nodes with an equal prefix are compared by all their MinHash
+   values; those that agree enough (SIGMAS standard deviations below t) are
+   tied. The recall at this depth follows from the similarities of the ties
+   met, each of which stands for 1 / (probability to be met) pairs, and of one
+   more pair at t. While it is below RECALL, the matched prefixes are shortened
+   by one value: only branches of the trie that now come together are compared,
+   pairs of one branch were before. At `floor_depth` the recall is met in any case.
+   Large prefixes are cut into blocks and compared block by block, so no task
+   holds more than two blocks, nothing is capped, and only one tie for each
+   node and block is passed on.
 3. In each component of the ties, texts are compared exactly, again by blocks:
    an intersection is a product of 0/1 matrices. What leaves a block is a
    count of links for each node and a tie to its root, not the pairs.
@@ -36,21 +42,32 @@ from pyspark.sql import functions as F
 from cladespark.llm import components, staging, words
 
 NGRAM, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 24, 8, 0.99999
-SLACK = 0.6
+TREES, DEEPEST, RECALL = 24, 6, 0.99999
+SIGMAS = 6
 #: Nodes of a block when signatures are compared, and when texts are.
-BLOCK, TEXT_BLOCK = 500, 200
+BLOCK, TEXT_BLOCK = 250, 200
 #: N-grams of a component for each further block of texts, for the sake of very long ones.
 TEXT_BLOCK_GRAMS = 2_000_000
 #: Log of the bits that say which texts are wanted for exact comparison.
 MOST_BITS = 26
 
 
-def prefix_depth(threshold: float, trees: int, deepest: int, recall: float) -> int:
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def met(similarity, depth: int, trees: int):
+    """Probability that a pair shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def floor_depth(threshold: float, trees: int, deepest: int, recall: float) -> int:
+    """The longest prefix at which pairs at the threshold are met with that probability."""
+    depths = [d for d in range(deepest, 0, -1) if met(threshold, d, trees) >= recall]
+    if not depths:
+        raise ValueError(f"{trees} trees cannot meet a recall of {recall} at a similarity of {threshold}")
+    return depths[0]
+
+
+def least_agreement(threshold: float, values: int) -> int:
+    """MinHash values, of so many, that pairs at the threshold agree in but for SIGMAS standard deviations."""
+    return max(1, int(np.ceil(threshold * values - SIGMAS * np.sqrt(threshold * (1 - threshold) * values))))
 
 
 def gram_sets(buf: np.ndarray, bounds: np.ndarray, n: int = NGRAM) -> list[np.ndarray]:
@@ -78,11 +95,15 @@ def fingerprint(grams: np.ndarray) -> int:
         return int(words.mix(np.array([words.mix(grams + words.BASE).sum(dtype=np.uint64) + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
-def signatures(docs: DataFrame, depth: int, trees: int = TREES, n: int = NGRAM) -> DataFrame:
-    """(doc_id, key, node, grams, labels, signature); node is null where there are no n-grams."""
+def signatures(docs: DataFrame, floor: int, trees: int = TREES, deepest: int = DEEPEST, n: int = NGRAM) -> DataFrame:
+    """(doc_id, key, node, grams, labels, signature); node is null where there are no n-grams.
+
+    A label is the hash of a tree's prefix of `floor` values; the signature has
+    the low byte of each value, tree by tree, in the order of the path.
+    """
     rng = np.random.default_rng(99)
-    factors = rng.integers(1, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
+    factors = rng.integers(1, 2**63, trees * deepest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shifts = rng.integers(0, 2**63, trees * deepest, dtype=np.uint64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,15 +111,15 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES, n: int = NGRAM)
             for _, _, buf, bounds in words.slices(batch.column(2)):
                 sets = gram_sets(buf, bounds, n)
                 full = [g for g in sets if len(g)]
-                least = np.zeros((trees * depth, len(full)), np.uint64)
+                least = np.zeros((trees * deepest, len(full)), np.uint64)
                 if full:
                     every = np.concatenate(full)
                     at = np.cumsum([0] + [len(g) for g in full[:-1]])
-                    for k in range(trees * depth):
+                    for k in range(trees * deepest):
                         least[k] = np.minimum.reduceat((every * factors[k] + shifts[k]) >> np.uint64(32), at)
                 path = np.zeros((trees, len(full)), np.uint64)
-                for k in range(depth):
-                    path = path * words.BASE + least[k::depth]
+                for k in range(floor):
+                    path = path * words.BASE + least[k::deepest]
                 path = words.mix(path + np.arange(1, trees + 1, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).T
                 sign = (least & np.uint64(255)).astype(np.uint8).T
                 i = 0
@@ -174,34 +195,74 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def ties(nodes: DataFrame, need: int) -> DataFrame:
-    """(a, b): within each block of nodes with an equal label, a tie from each node to the root of those like it."""
-    rows = nodes.select("node", F.explode("labels").alias("label"))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = rows.join(sizes, "label").join(nodes.select("node", "signature"), "node")
-    dealt = _blocks(shared, "label", F.ceil(F.col("size") / BLOCK).cast("int"), ["label"], ["node", "signature"])
+def trie(nodes: DataFrame, floor: int, deepest: int) -> DataFrame:
+    """(label, tail, node, signature): the paths whose first `floor` values another node shares.
+
+    `tail` has the rest of the path, a byte a value; rows with equal label and
+    equal first bytes of the tail are a branch.
+    """
+    rows = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
+    shared = rows.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1").select("label")
+    tail = F.substring(F.col("signature"), F.col("tree") * deepest + floor + 1, F.lit(deepest - floor))
+    return rows.join(shared, "label").join(nodes.select("node", "signature"), "node").select("label", tail.alias("tail"), "node", "signature")
+
+
+def ties(paths: DataFrame, depth: int, floor: int, deepest: int, need: int, threshold: float) -> DataFrame:
+    """(a, b, agree) at one depth: within each block of nodes with an equal prefix, a tie from each node to the root of those like it.
+
+    `agree` is the least agreement, not below the threshold, of the node's pairs there.
+    """
+    at = lambda d: F.xxhash64("label", F.substring(F.col("tail"), F.lit(1), F.lit(d - floor)))
+    rows = paths.withColumn("prefix", at(depth)).withColumn("branch", at(depth + 1) if depth < deepest else F.col("node"))
+    joining = rows.groupBy("prefix").agg(F.count("*").alias("size"), F.min("branch").alias("x"), F.max("branch").alias("y")).filter("x != y").select("prefix", "size")
+    shared = rows.join(joining, "prefix")
+    dealt = _blocks(shared, "prefix", F.ceil(F.col("size") / BLOCK).cast("int"), ["prefix"], ["node", "branch", "signature"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 3):
             group = _numbered(table, 3)
-            block, node = table.column(3).to_numpy(), table.column(4).to_numpy()
+            block, node, branch = (table.column(k).to_numpy() for k in (3, 4, 5))
             mixed = table.column(1).to_numpy() != table.column(2).to_numpy()
-            sign = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(node), -1)
+            sign = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(node), -1)
+            near = int(np.ceil(threshold * sign.shape[1]))
+            least = np.full(len(node), sign.shape[1])
             pairs, live, k = [], np.arange(len(node)), 1
             while len(live):
                 live = live[live + k < len(node)]
                 live = live[group[live] == group[live + k]]
-                test = live[~mixed[live] | (block[live] != block[live + k])]
+                test = live[(~mixed[live] | (block[live] != block[live + k])) & (branch[live] != branch[live + k])]
                 for at in range(0, len(test), 4096):
                     part = test[at : at + 4096]
-                    pairs.append(np.stack([part, part + k])[:, (sign[part] == sign[part + k]).sum(1) >= need])
+                    agree = (sign[part] == sign[part + k]).sum(1)
+                    pairs.append(np.stack([part, part + k])[:, agree >= need])
+                    like = agree >= near
+                    np.minimum.at(least, part[like], agree[like])
+                    np.minimum.at(least, part[like] + k, agree[like])
                 k += 1
             a, b = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
             root = _roots(len(node), a, b)
             tied = np.flatnonzero(root != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]]), pa.array(least[tied] / sign.shape[1])], ["a", "b", "agree"])
+
+    return dealt.mapInArrow(each, "a long, b long, agree double")
+
 
-    return dealt.mapInArrow(each, "a long, b long")
+def forest_ties(nodes: DataFrame, threshold: float, trees: int, deepest: int, recall: float) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(a, b) of all depths gone through, and the estimated recall at each of them."""
+    floor = floor_depth(threshold, trees, deepest, recall)
+    need = least_agreement(threshold, trees * deepest)
+    paths = staging.stage(trie(nodes, floor, deepest), "trie")
+    found, steps = None, []
+    for depth in range(deepest, floor - 1, -1):
+        level = staging.stage(ties(paths, depth, floor, deepest, need, threshold), "ties")
+        found = level if found is None else found.unionByName(level)
+        # A pair is met in several trees and blocks; its smallest similarity stands for it.
+        once = found.groupBy("a", "b").agg(F.min("agree").alias("s"))
+        number, stands_for = once.agg(F.count("*"), F.sum(1 / met(F.col("s"), depth, trees))).first()
+        steps.append((depth, ((number or 0) + 1) / ((stands_for or 0.0) + 1 / met(threshold, depth, trees))))
+        if steps[-1][1] >= recall:
+            break
+    return found.select("a", "b"), steps
 
 
 def _blocks(rows: DataFrame, group: str, blocks, keys: list[str], values: list[str]) -> DataFrame:
@@ -292,12 +353,11 @@ def links(docs: DataFrame, members: DataFrame, threshold: float, n: int = NGRAM)
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL, n: int = NGRAM) -> DataFrame:
     """(doc_id, key, class_key, class_id, n_links, n_copies) of every row of docs(doc_id, text)."""
     staging.small_batches(docs.sparkSession)
-    depth = prefix_depth(threshold, trees, deepest, recall)
-    signed = staging.stage(signatures(docs, depth, trees, n), "signatures")
+    signed = staging.stage(signatures(docs, floor_depth(threshold, trees, deepest, recall), trees, deepest, n), "signatures")
     full = signed.filter("node is not null")
     nodes = full.groupBy("node").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("least"), _first("doc_id").alias("key"), F.first("grams").alias("grams"), F.first("labels").alias("labels"), F.first("signature").alias("signature"))
     nodes = staging.stage(nodes, "nodes")
-    tied = components.components(ties(nodes, int(np.ceil(SLACK * trees * depth))))
+    tied = components.components(forest_ties(nodes, threshold, trees, deepest, recall)[0])
     members = staging.stage(tied.join(nodes.select("node", "key", "grams"), "node"), "members")
     found = staging.stage(links(docs, members, threshold, n), "links")
     classes = components.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
