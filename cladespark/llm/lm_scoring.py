@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,28 @@ class Vocabulary:
     total: int
     folded: bool
 
+    @cached_property
+    def _starts(self) -> tuple[np.uint64, np.ndarray]:
+        """How far a hash is shifted to its bucket, of which there are about as many as hashes, and where each bucket starts."""
+        bits = max(1, len(self.hashes).bit_length())
+        shift = np.uint64(63 - bits)
+        edges = (np.arange(1 << bits, dtype=np.uint64) << shift) | _SIGN
+        return shift, np.append(np.searchsorted(self.hashes, edges), len(self.hashes))
+
     def numbers(self, hashed: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashed), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashed, at + 1, 0)
+        shift, starts = self._starts
+        bucket = ((hashed ^ _SIGN) >> shift).astype(np.int64)
+        out, live, at, end = np.zeros(len(hashed), np.int64), np.arange(len(hashed)), starts[bucket], starts[bucket + 1]
+        while True:
+            inside = at < end
+            live, at, end = live[inside], at[inside], end[inside]
+            if not len(live):
+                return out
+            same = self.hashes[at] == hashed[live]
+            out[live[same]] = at[same] + 1
+            live, at, end = live[~same], at[~same] + 1, end[~same]
 
     def frequent(self) -> np.ndarray:
         """Which numbers are of words with one in SHARE of all occurrences or more."""
