@@ -350,11 +350,65 @@ def test_classes_match_all_pairs(spark, monkeypatch, block):
 
 
 def test_forest_depth_and_empty_table(empty):
-    assert ngram_join.prefix_depth(0.8, 24, 8, 0.99999) == 4
-    assert ngram_join.prefix_depth(0.8, 24, 8, 0.5) == 8
+    assert ngram_join.floor_depth(0.8, 24, 8, 0.99999) == 4
+    assert ngram_join.floor_depth(0.8, 24, 8, 0.5) == 8
+    assert ngram_join.floor_depth(0.5, 24, 6, 0.99999) == 1
+    with pytest.raises(ValueError, match="recall"):
+        ngram_join.floor_depth(0.1, 3, 6, 0.99)
+    assert ngram_join.least_agreement(0.8, 144) == 87
     assert ngram_join.jaccard_classes(empty).count() == 0
 
 
+def test_prefixes_are_shortened_until_the_recall(spark):
+    def steps(change):
+        rng = random.Random(4)
+        pairs = []
+        for g in range(40):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+            other = list(base)
+            for k in range(change):
+                other[20 + 20 * k] = "x"
+            pairs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        signed = ngram_join.signatures(spark.createDataFrame(pairs, "doc_id long, text string"), 4).filter("node is not null")
+        found, taken = ngram_join.forest_ties(signed, 0.8, 24, 6, 0.99999)
+        assert found.distinct().count() == 40
+        return taken
+
+    alike, unlike = steps(1), steps(6)
+    assert [d for d, _ in unlike] == list(range(6, 6 - len(unlike), -1)) and len(alike) < len(unlike) <= 3
+    assert [r for _, r in unlike] == sorted(r for _, r in unlike) and unlike[-1][1] >= 0.99999 or unlike[-1][0] == 4
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.9])
+def test_other_thresholds_match_all_pairs(spark, threshold):
+    rng = random.Random(12)
+    pairs = []
+    for g in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(80)]
+        for k in range(3):
+            other = list(base)
+            for _ in range(rng.randint(0, 6)):
+                other[rng.randrange(80)] = f"x{rng.randrange(9000)}"
+            pairs.append((10 * g + k, " ".join(other)))
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for d, t in pairs for w in [t.split()]}
+    distinct = set(sets.values())
+    links = {s: sum(s is not o and len(s & o) >= threshold * len(s | o) for o in distinct) for s in distinct}
+    got = ngram_join.jaccard_classes(spark.createDataFrame(pairs, "doc_id long, text string"), threshold=threshold).collect()
+    assert {r.doc_id: r.n_links for r in got} == {d: links[s] for d, s in sets.items()}
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "aabc"]
+    frame = spark.createDataFrame([(f"id-{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    assert {(r.doc_id, r.class_id) for r in ngram_join.jaccard_classes(frame).collect()} == {("id-0", "id-0"), ("id-1", "id-0"), ("id-2", "id-2"), ("id-3", "id-3")}
+    placed = frame.select("doc_id", sharding.shard_of(sharding.key_of(frame, "doc_id"), 8).alias("a"), sharding.shard_of(sharding.key_of(frame, "doc_id"), 9).alias("b")).collect()
+    assert all(0 <= r.a < 8 and r.b in (r.a, 8) for r in placed)
+    spark.createDataFrame([("id-0", 1, 0)], "doc_id string, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality_rules.quality_rules(spark, frame, str(tmp_path)).filter(F.col("base_failed")).count() == 4
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
@@ -410,7 +464,8 @@ def test_counts_match_plain_python(docs):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r.kept == (not r.base_failed)
 
 
-def test_ratio_matches_a_direct_count_and_rejects_what_is_unlike(spark, tmp_path):
+def test_ratio_matches_a_direct_count_and_rejects_what_is_unlike(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality_rules, "PRIOR", 500)
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice(["the", "of", "and", "reed", "station"]) for _ in range(80))
     junk = lambda: " ".join(f"{rng.choice('QXZ')}{rng.randrange(9)}&&" for _ in range(80))
@@ -421,7 +476,7 @@ def test_ratio_matches_a_direct_count_and_rejects_what_is_unlike(spark, tmp_path
 
     def ids(t):
         b = t.encode()
-        return [((b[i] << 8 | b[i + 1]) * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(b) - 1)]
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(b) - 2)]
 
     every, trusted = Counter(), Counter()
     for d, t in data:
@@ -429,7 +484,7 @@ def test_ratio_matches_a_direct_count_and_rejects_what_is_unlike(spark, tmp_path
         if d < 40:
             trusted.update(ids(t))
     n, m = sum(every.values()), sum(trusted.values())
-    prior = max(1, m / 1000)
+    prior = 500 + m / 1000
     score = lambda t: np.mean([math.log((trusted[g] + prior * every[g] / n) / (m + prior) / (every[g] / n)) for g in ids(t)])
     for d, t in data:
         assert got[d].ratio == pytest.approx(score(t), abs=1e-4)
@@ -439,10 +494,10 @@ def test_ratio_matches_a_direct_count_and_rejects_what_is_unlike(spark, tmp_path
 def test_all_trusted_rows_count(spark, tmp_path):
     spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
     assert quality_rules.trusted_ids(spark, str(tmp_path)).count() == 20_500
-    frame = spark.range(20_600).selectExpr("id as doc_id", "if(id < 20500, if(id % 2 = 0, 'ab', concat('c', char(97 + cast(id % 26 as int)))), 'xy') as text")
+    frame = spark.range(20_600).selectExpr("id as doc_id", "if(id < 20500, if(id % 2 = 0, 'abc', concat('cd', char(97 + cast(id % 26 as int)))), 'xyz') as text")
     texts = [r.text for r in frame.orderBy("doc_id").collect()]
     every, trusted = Counter(texts), Counter(texts[:20_500])
-    prior = 20_500 / 1000
+    prior = quality_rules.PRIOR + 20_500 / 1000
     for r in quality_rules.quality_rules(spark, frame, str(tmp_path)).filter("doc_id < 60 or doc_id >= 20590").collect():
         g = texts[r.doc_id]
         p = every[g] / 20_600
@@ -478,6 +533,23 @@ def test_secrets_match_plain_expressions(spark):
     assert secrets_scan.scan(None, machine) == []
 
 
+def test_long_hostile_texts_take_linear_time():
+    import time
+
+    machine, began = secrets_scan.automaton(), time.perf_counter()
+    deep = __import__("base64").urlsafe_b64encode(b'{"alg":' + b"[" * 200_000).decode().rstrip("=")
+    for t in ("eyJ" * 1_000_000, "eyJa." * 300_000, "password" * 200_000, "-----BEGIN " + "A " * 500_000, "AKIA" * 500_000, deep + ".a.b"):
+        assert all(k == "access" for _, _, k in secrets_scan.scan(t, machine))
+    for t in ("0" * 5000 + ".1.1.1", "1" * 5_000_000, "1." * 500_000, "+1" + " " * 1_000_000, "a@" * 500_000, "a@" + "b" * 1_000_000):
+        spans = personal_data.base_spans(t)
+        assert len(spans) == (t.count(".") // 4 if t.startswith("1.") else t.startswith("0"))
+    assert time.perf_counter() - began < 60
+
+
+def test_arrays_in_a_token_are_no_header():
+    assert secrets_scan.scan("eyJhbGciXQ.e30.abc", secrets_scan.automaton()) == []
+
+
 def test_embedded_checksums(spark):
     machine = secrets_scan.automaton()
     body = "0123456789ABCDEFGHIJabcdefghij"
