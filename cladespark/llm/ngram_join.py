@@ -17,8 +17,8 @@ one node, so copies, however many, cost one node.
    by one value: only branches of the trie that now come together are compared,
    pairs of one branch were before. At `floor_depth` the recall is met in any case.
    Large prefixes are cut into blocks and compared block by block, so no task
-   holds more than two blocks, nothing is capped, and only one tie for each
-   node and block is passed on.
+   holds more than two blocks, nothing is capped, and ties between groups that
+   are known to hang together are not passed on again.
 3. In each component of the ties, texts are compared exactly, again by blocks:
    an intersection is a product of 0/1 matrices. What leaves a block is a
    count of links for each node and a tie to its root, not the pairs.
@@ -45,7 +45,7 @@ NGRAM, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 6, 0.99999
 SIGMAS = 6
 #: Nodes of a block when signatures are compared, and when texts are.
-BLOCK, TEXT_BLOCK = 250, 200
+BLOCK, TEXT_BLOCK = 500, 200
 #: N-grams of a component for each further block of texts, for the sake of very long ones.
 TEXT_BLOCK_GRAMS = 2_000_000
 #: Log of the bits that say which texts are wanted for exact comparison.
@@ -208,9 +208,12 @@ def trie(nodes: DataFrame, floor: int, deepest: int) -> DataFrame:
 
 
 def ties(paths: DataFrame, depth: int, floor: int, deepest: int, need: int, threshold: float) -> DataFrame:
-    """(a, b, agree) at one depth: within each block of nodes with an equal prefix, a tie from each node to the root of those like it.
+    """(a, b, agree) at one depth: ties that join the nodes alike within each pair of blocks of nodes with an equal prefix.
 
-    `agree` is the least agreement, not below the threshold, of the node's pairs there.
+    Nodes of one branch were compared at the depth before, and nodes of one block
+    where the block meets itself; only ties between the groups that those make
+    are passed on, so their number follows that of the nodes. `agree` is the
+    least agreement, not below the threshold, of the pairs that a tie stands for; null without such a pair.
     """
     at = lambda d: F.xxhash64("label", F.substring(F.col("tail"), F.lit(1), F.lit(d - floor)))
     rows = paths.withColumn("prefix", at(depth)).withColumn("branch", at(depth + 1) if depth < deepest else F.col("node"))
@@ -224,25 +227,25 @@ def ties(paths: DataFrame, depth: int, floor: int, deepest: int, need: int, thre
             block, node, branch = (table.column(k).to_numpy() for k in (3, 4, 5))
             mixed = table.column(1).to_numpy() != table.column(2).to_numpy()
             sign = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(node), -1)
-            near = int(np.ceil(threshold * sign.shape[1]))
-            least = np.full(len(node), sign.shape[1])
-            pairs, live, k = [], np.arange(len(node)), 1
+            pairs, alike, live, k = [], [], np.arange(len(node)), 1
             while len(live):
                 live = live[live + k < len(node)]
                 live = live[group[live] == group[live + k]]
-                test = live[(~mixed[live] | (block[live] != block[live + k])) & (branch[live] != branch[live + k])]
-                for at in range(0, len(test), 4096):
-                    part = test[at : at + 4096]
+                for at in range(0, len(live), 4096):
+                    part = live[at : at + 4096]
                     agree = (sign[part] == sign[part + k]).sum(1)
                     pairs.append(np.stack([part, part + k])[:, agree >= need])
-                    like = agree >= near
-                    np.minimum.at(least, part[like], agree[like])
-                    np.minimum.at(least, part[like] + k, agree[like])
+                    alike.append(agree[agree >= need] / sign.shape[1])
                 k += 1
-            a, b = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
-            root = _roots(len(node), a, b)
-            tied = np.flatnonzero(root != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]]), pa.array(least[tied] / sign.shape[1])], ["a", "b", "agree"])
+            if not pairs:
+                continue
+            (a, b), alike = np.concatenate(pairs, 1), np.concatenate(alike)
+            known = (branch[a] == branch[b]) | (mixed[a] & (block[a] == block[b]))
+            before, root = _roots(len(node), a[known], b[known]), _roots(len(node), a, b)
+            least, near = np.full(len(node), 2.0), alike >= threshold
+            np.minimum.at(least, root[a[near]], alike[near])
+            tied = np.flatnonzero((before == np.arange(len(node))) & (root != before))
+            yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]]), pa.array(least[root[tied]], mask=least[root[tied]] > 1)], ["a", "b", "agree"])
 
     return dealt.mapInArrow(each, "a long, b long, agree double")
 
@@ -258,7 +261,7 @@ def forest_ties(nodes: DataFrame, threshold: float, trees: int, deepest: int, re
         found = level if found is None else found.unionByName(level)
         # A pair is met in several trees and blocks; its smallest similarity stands for it.
         once = found.groupBy("a", "b").agg(F.min("agree").alias("s"))
-        number, stands_for = once.agg(F.count("*"), F.sum(1 / met(F.col("s"), depth, trees))).first()
+        number, stands_for = once.agg(F.count("s"), F.sum(1 / met(F.col("s"), depth, trees))).first()
         steps.append((depth, ((number or 0) + 1) / ((stands_for or 0.0) + 1 / met(threshold, depth, trees))))
         if steps[-1][1] >= recall:
             break
