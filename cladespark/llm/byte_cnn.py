@@ -138,15 +138,18 @@ def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int =
     """Texts and labels to learn from: ids by hash, half for each label, until `rows` rows or `limit` bytes are reached.
 
     A text with more than a 16th of `limit` is left out, so that a long one does not end the sample.
+    Of rows with one id the text that sorts first counts.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).filter("y = z").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
     halves = [usable.filter(F.col("y") == y).orderBy("h", "doc_id").limit(rows // 2) for y in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
+    found = found.filter(F.octet_length("text") * 16 <= limit)
+    # Rows with one id are one; the rows of the window are as many as ids were chosen.
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("h").alias("h"))
     # What reaches the driver is bounded too: rows are added in order of their hash while their bytes fit.
     size = F.sum(F.octet_length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.filter(F.octet_length("text") * 16 <= limit)
     got = found.withColumn("size", size).filter(F.col("size") <= limit).orderBy("h", "doc_id").select("text", "y").toPandas()
     return got.text.tolist(), got.y.to_numpy(np.float32)
 

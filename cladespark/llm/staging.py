@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,12 +16,18 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (a local session), a folder of this process."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of this process, removed at its end.
+
+    Executors elsewhere do not share such a folder, so only a local session may leave it unset.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="stage-"))
+        atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), ignore_errors=True)
     return _OWN[0]
 
 

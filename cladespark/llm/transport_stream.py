@@ -6,7 +6,8 @@ each access unit with a presentation time stamp, cut into 188-byte packets.
 Every RANDOM_ACCESS_EVERY-th unit is a random access point with a clock
 reference. `demux` reads any such stream back: it parses the program tables
 (checking their CRC), checks continuity counters, joins the elementary packets
-and lists time stamps and random access points.
+and lists time stamps and random access points. Sections may span packets; a
+counter may jump where the discontinuity flag says so.
 
 A null payload is an empty one. Streams that break the format raise
 TransportStreamError in `demux`; lost packets do not, they are counted.
@@ -134,12 +135,23 @@ class Stream:
         return f"packets={self.packets};programs={self.programs};type={self.stream_type};pes={self.elementary_packets};lost={self.lost};repeated={self.repeated};ticks={span};access={','.join(map(str, self.random_access))}"
 
 
-def _sections(data: bytes, table_id: int) -> bytes:
-    section = data[1 + data[0] :]
-    size = 3 + ((section[1] & 0x0F) << 8 | section[2])
-    if section[0] != table_id or len(section) < size or crc32_mpeg(section[:size]):
+def _section_of(table: np.ndarray, pid: np.ndarray, start: np.ndarray, wanted: int, table_id: int) -> bytes:
+    """Body of the first section of a table, joined from as many packets as it spans."""
+    own = np.flatnonzero(pid == wanted)
+    heads = np.flatnonzero(table[own, 1] & 0x40)
+    if not len(heads):
+        raise TransportStreamError(f"no table {table_id}")
+    data, size = b"", None
+    for i in own[heads[0] :]:
+        data += table[i, start[i] :].tobytes()
+        if size is None and data and len(data) >= data[0] + 4:
+            data = data[1 + data[0] :]
+            size = 3 + ((data[1] & 0x0F) << 8 | data[2])
+        if size is not None and len(data) >= size:
+            break
+    if size is None or size < 12 or data[0] != table_id or len(data) < size or crc32_mpeg(data[:size]):
         raise TransportStreamError(f"table {table_id} is damaged")
-    return section[8 : size - 4]
+    return data[8 : size - 4]
 
 
 def demux(stream: bytes) -> Stream:
@@ -155,18 +167,12 @@ def demux(stream: bytes) -> Stream:
     start = np.where(control & 2, 5 + table[:, 4].astype(np.int32), 4)
     start = np.where(control & 1, np.minimum(start, PACKET), PACKET)
 
-    def body(i: int) -> bytes:
-        return table[i, start[i] :].tobytes()
-
-    first = lambda p: np.flatnonzero((pid == p) & (table[:, 1] & 0x40 > 0))
-    if not len(at := first(PAT_PID)):
-        raise TransportStreamError("no program association table")
-    pat = _sections(body(at[0]), 0)
+    pat = _section_of(table, pid, start, PAT_PID, 0)
     programs = [(int.from_bytes(pat[k : k + 2], "big"), int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF) for k in range(0, len(pat), 4)]
     programs = [x for x in programs if x[0]]
-    if not programs or not len(at := first(programs[0][1])):
-        raise TransportStreamError("no program map table")
-    pmt = _sections(body(at[0]), 2)
+    if not programs:
+        raise TransportStreamError("no program")
+    pmt = _section_of(table, pid, start, programs[0][1], 2)
     at_ = 4 + (int.from_bytes(pmt[2:4], "big") & 0x0FFF)
     if at_ + 5 > len(pmt):
         raise TransportStreamError("a program without streams")
@@ -175,12 +181,13 @@ def demux(stream: bytes) -> Stream:
     if not len(own):
         return found
     counter = (table[own, 3] & 15).astype(np.int16)
+    flags = np.where((control[own] & 2 > 0) & (table[own, 4] > 0), table[own, 5], 0)
     step = np.diff(counter) & 15
-    again = np.concatenate([[False], step == 0])
-    found.repeated, found.lost = int(again.sum()), int(((step - 1) & 15)[step != 0].sum())
-    own = own[~again]
+    jump = flags[1:] & 0x80 > 0
+    again = np.concatenate([[False], (step == 0) & ~jump])
+    found.repeated, found.lost = int(again.sum()), int(((step - 1) & 15)[(step != 0) & ~jump].sum())
+    own, flags = own[~again], flags[~again]
     heads = np.flatnonzero(table[own, 1] & 0x40)
-    flags = np.where((control[own] & 2 > 0) & (table[own, 4] > 0), table[own, 5], 0)
     rows, offset = table[own], start[own]
     plain = offset == 4
     pieces, done = [], 0
@@ -251,4 +258,4 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = staging.documents(spark, sf_dir).select("doc_id", "text")
     sized = docs.select("doc_id", F.octet_length(staging.text_column()).cast("long").alias("n_bytes"), "text")
     read = store(sized).select("doc_id", "n_bytes", parsed(F.col("media")).alias("m"))
-    return read.select("doc_id", "n_bytes", *[f"m.{c}" for c in _READ.names[:6]])
+    return read.select("doc_id", "n_bytes", *[f"m.{c}" for c in _READ.names])

@@ -83,6 +83,24 @@ def test_stream_damage_is_seen():
             transport_stream.demux(bad)
 
 
+def test_long_tables_and_legal_jumps():
+    programs = b"".join(k.to_bytes(2, "big") + (0xE000 | transport_stream.PMT_PID).to_bytes(2, "big") for k in range(1, 100))
+    section = bytes([0]) + transport_stream._section(0, 1, programs)
+    stream = transport_stream.mux(bytes(range(256)) * 40)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    pat = [bytes([0x47, 0x40 if i == 0 else 0, 0, 0x10 | i // 184]) + section[i : i + 184].ljust(184, b"\xff") for i in range(0, len(section), 184)]
+    assert len(pat) > 1
+    got = transport_stream.demux(b"".join(pat + packets[1:]))
+    assert got.programs == 99 and got.payload == bytes(range(256)) * 40 and not got.lost
+    with pytest.raises(transport_stream.TransportStreamError):
+        transport_stream.demux(b"".join(pat[:1] + packets[1:]))
+    one = lambda counter, flags, head: bytes([0x47, head | 1, 0, 0x30 | counter, 1, flags])
+    pes = b"\x00\x00\x01\xbd\x00\x00\x80\x00\x00"
+    units = [(one(c, f, 0x40) + pes).ljust(188, b"x") for c, f in ((0, 0), (1, 0), (9, 0x80), (10, 0), (12, 0))]
+    got = transport_stream.demux(b"".join([*packets[:2], *units]))
+    assert (got.lost, got.repeated, got.elementary_packets) == (1, 0, 5)
+
+
 def test_streams_in_a_column(docs, empty):
     media = transport_stream.store(docs.select("doc_id", "text"))
     got = media.select("text", transport_stream.parsed(media.media).alias("m")).collect()
@@ -127,6 +145,25 @@ def test_a_long_text_does_not_end_the_sample(spark):
     frame = usable.selectExpr("doc_id", f"if(doc_id = {first}, repeat('long ', 1000), 'short') as text")
     texts, y = byte_cnn.sample(spark, frame, labels, limit=4000)
     assert texts == ["short"] * (usable.count() - 1) and set(y.tolist()) == {0, 1}
+    again, _ = byte_cnn.sample(spark, frame.unionByName(frame), labels, limit=4000)
+    assert again == texts
+
+
+def test_network_matches_a_plain_forward_pass():
+    net = byte_cnn.Network.random(3)
+    rng = random.Random(5)
+    cases = [b"", b"a", rng.randbytes(511), rng.randbytes(512), rng.randbytes(513), rng.randbytes(2000)]
+    buf, bounds = np.frombuffer(b"".join(cases), np.uint8), np.cumsum([0] + [len(c) for c in cases])
+    for case, got in zip(cases, net.scores(buf, bounds), strict=True):
+        hop = byte_cnn.CHUNK - byte_cnn.OVERLAP
+        count = max(1, -(-max(len(case) - byte_cnn.OVERLAP, 0) // hop))
+        pooled = []
+        for k in range(count):
+            chunk = case[k * hop : k * hop + byte_cnn.CHUNK].ljust(byte_cnn.CHUNK, b"\0")
+            seen = [np.concatenate([net.embed[b] for b in chunk[i : i + byte_cnn.WIDTH]]) @ net.filters + net.bias for i in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STEP)]
+            pooled.append(np.maximum(np.max(seen, 0), 0))
+        logit = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)]) @ net.head + net.offset[0]
+        assert got == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-5)
 
 
 # 3: language model
