@@ -1,13 +1,38 @@
-"""Sets of states as bits of a bigint, for alphabets of at most 62 symbols."""
+"""Sets of states as bits of a bigint; sets of wider alphabets as several of them, the lowest symbols first."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MOST_SYMBOLS = 62
 
 
+def is_wide(symbols: int) -> bool:
+    return symbols > MOST_SYMBOLS
+
+
+def packed(sets: Iterable[int], symbols: int) -> list[int]:
+    """Sets as bigints: one each, or as many as the alphabet takes."""
+    if not is_wide(symbols):
+        return list(sets)
+    part = (1 << MOST_SYMBOLS) - 1
+    return [s >> at & part for s in sets for at in range(0, symbols, MOST_SYMBOLS)]
+
+
+def unpacked(values: Iterable[int] | None, symbols: int) -> list[int] | None:
+    """The sets that `packed` made bigints of."""
+    if values is None:
+        return None
+    values = [int(v) for v in values]
+    if not is_wide(symbols):
+        return values
+    step = -(-symbols // MOST_SYMBOLS)
+    return [sum(v << k * MOST_SYMBOLS for k, v in enumerate(values[at : at + step])) for at in range(0, len(values), step)]
+
+
 def full_mask(size: int | Column) -> Column:
     """The set of all symbols of an alphabet: what a missing value stands for."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1 if isinstance(size, Column) else F.lit((1 << size) - 1)

@@ -29,6 +29,15 @@ def context(e: Element) -> str:
     return ("alignment" if e[2] else "insertion") if e[1] else ("deletion" if e[2] else "gap")
 
 
+def _between(a: int, b: int) -> tuple[int, int]:
+    """Median and cost of two sets as ranges from their first to their last symbol: what they share, else the gap between them."""
+    low = max((a & -a).bit_length(), (b & -b).bit_length()) - 1
+    high = min(a.bit_length(), b.bit_length()) - 1
+    cost = max(0, low - high)
+    low, high = min(low, high), max(low, high)
+    return (1 << high + 1) - (1 << low), cost
+
+
 class Aligner:
     """Pairwise alignment under a cost matrix whose last symbol is the gap.
 
@@ -41,22 +50,39 @@ class Aligner:
 
     def __init__(self, tcm: Tcm):
         self.tcm, self.gap = tcm, 1 << (tcm.n - 1)
-        self.table = tcm.dense() if tcm.n <= DENSE_SYMBOLS else None
+        self.linear = tcm.is_additive()
+        self.table = tcm.dense() if tcm.n <= DENSE_SYMBOLS and not self.linear else None
+        self.number = np.int64 if tcm.n <= 63 else object  # wider sets are Python's numbers
+        self.into: dict[int, np.ndarray] = {}
+        self.known: dict[tuple[int, int], tuple[int, int]] = {}
 
     def median(self, a: int, b: int) -> tuple[int, int]:
         if self.table is not None:
             return int(self.table[0][a, b]), int(self.table[1][a, b])
-        return self.tcm.median(a, b)
+        if (a, b) not in self.known:
+            if self.linear and a and b:
+                self.known[a, b] = _between(a, b)
+                return self.known[a, b]
+            total = self._into(a) + self._into(b)
+            least = total.min()
+            self.known[a, b] = sum(1 << i for i in np.flatnonzero(total == least).tolist()), int(least)
+        return self.known[a, b]
+
+    def _into(self, a: int) -> np.ndarray:
+        """Least cost from each symbol into a set."""
+        if a not in self.into:
+            self.into[a] = self.tcm.array[:, [j for j in range(self.tcm.n) if a >> j & 1]].min(1)
+        return self.into[a]
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.table is not None:
             return self.table[0][np.ix_(a, b)], self.table[1][np.ix_(a, b)]
-        found = [[self.tcm.median(int(x), int(y)) for y in b] for x in a]
-        return np.array([[m for m, _ in r] for r in found], np.int64).reshape(len(a), len(b)), np.array([[c for _, c in r] for r in found], np.int64).reshape(len(a), len(b))
+        found = [[self.median(int(x), int(y)) for y in b] for x in a]
+        return np.array([[m for m, _ in r] for r in found], self.number).reshape(len(a), len(b)), np.array([[c for _, c in r] for r in found], np.int64).reshape(len(a), len(b))
 
     def matrix(self, shorter: Sequence[int], longer: Sequence[int]) -> tuple[int, np.ndarray]:
         """Cost of the alignment and the direction of each cell. Rows are vectorised: a running minimum stands for the steps along a row."""
-        a, b, gap = np.array(shorter, np.int64), np.array(longer, np.int64), np.array([self.gap])
+        a, b, gap = np.array(shorter, self.number), np.array(longer, self.number), np.array([self.gap], self.number)
         median, cost = self._pairs(a, b)
         along, down = self._pairs(gap, b)[1][0], self._pairs(a, gap)[1][:, 0]
         run = np.concatenate([[0], np.cumsum(along)])

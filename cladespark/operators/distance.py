@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.functions import intervals
+from cladespark.functions import intervals, masks
 from cladespark.operators.alignment import Aligner
+from cladespark.operators.score import UNKNOWN, _dealt, observed_sets
 from cladespark.operators.tcm import Tcm, default_tcm
 
 
@@ -41,44 +45,60 @@ def _mirrored(half: DataFrame, obs: DataFrame) -> DataFrame:
 
 def all_pairs(obs: DataFrame, characters: DataFrame, tcms: dict[int, Tcm] | None = None) -> DataFrame:
     """(i, j, distance) over characters of every kind, in numpy for each group of characters, summed by pair."""
-    from cladespark.operators.score import _dealt
-
     tcms = tcms or {}
     weights = characters.select("char_id", F.col("weight").alias("w"))
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
-        total: dict[tuple[str, str], float] = {}
-        for _, part in rows.groupby("char_id"):
-            one = part.iloc[0]
-            tcm = tcms.get(-1 if pd.isna(one.tcm_id) else int(one.tcm_id)) or default_tcm(int(one.symbols))
-            aligner = Aligner(tcm) if one.bin == "dynamic" else None
-            items = list(part.itertuples())
-            for x, a in enumerate(items):
-                for b in items[x + 1 :]:
-                    pair = (a.taxon, b.taxon) if a.taxon < b.taxon else (b.taxon, a.taxon)
-                    total[pair] = total.get(pair, 0.0) + one.w * _cost(one.bin, a, b, tcm, aligner)
-        return pd.DataFrame([(i, j, d) for (i, j), d in total.items()], columns=["i", "j", "distance"])
-
-    dealt = _dealt(obs, characters).join(weights, "char_id").groupBy("chunk").applyInPandas(each, "i string, j string, distance double")
+        taxa = np.sort(rows.taxon.unique())
+        place, total, met = {t: k for k, t in enumerate(taxa)}, np.zeros((len(taxa), len(taxa))), np.zeros((len(taxa), len(taxa)), bool)
+        for (kind, tcm_id, symbols), part in rows.groupby(["bin", pd.to_numeric(rows.tcm_id).fillna(-1).astype(int), "symbols"]):
+            chars, column = np.unique(part.char_id, return_inverse=True)
+            row, weight = part.taxon.map(place).to_numpy(int), np.zeros(len(chars))
+            weight[column] = part.w
+            there = np.zeros((len(taxa), len(chars)), bool)
+            there[row, column] = True
+            cost = _costs(kind, part, row, column, there.shape, tcms.get(tcm_id) or default_tcm(int(symbols)), int(symbols))
+            for x in range(len(taxa) - 1):
+                both = there[x] & there[x + 1 :]
+                met[x, x + 1 :] |= both.any(1)
+                total[x, x + 1 :] += (np.where(both, cost(x), 0) * weight).sum(1)
+        i, j = np.nonzero(met)
+        return pd.DataFrame({"i": taxa[i], "j": taxa[j], "distance": total[i, j]})
+
+    dealt = _dealt(obs, characters, obs.select("taxon").distinct().count()).join(weights, "char_id").groupBy("chunk").applyInPandas(each, "i string, j string, distance double")
     return _mirrored(dealt.groupBy("i", "j").agg(F.sum("distance").alias("distance")), obs)
 
 
-def _cost(kind: str, a, b, tcm: Tcm, aligner: Aligner | None) -> float:
+def _costs(kind: str, part: pd.DataFrame, row: np.ndarray, column: np.ndarray, shape: tuple[int, int], tcm: Tcm, symbols: int) -> Callable[[int], np.ndarray]:
+    """Costs of the characters of a taxon against those of the taxa after it: (taxa after it, characters). Missing ones cost 0."""
     if kind in ("continuous", "additive"):
-        if pd.isna(a.lo) or pd.isna(b.lo):
-            return 0.0
-        return max(0.0, max(a.lo, b.lo) - min(a.hi, b.hi))
+        lo, hi = np.full(shape, np.nan), np.full(shape, np.nan)
+        lo[row, column], hi[row, column] = part.lo, part.hi
+        return lambda x: np.nan_to_num(np.maximum(0, np.maximum(lo[x], lo[x + 1 :]) - np.minimum(hi[x], hi[x + 1 :])), nan=0.0)
+    aligner = Aligner(tcm)
     if kind == "dynamic":
-        return 0.0 if a.seq is None or b.seq is None else float(aligner.cost(a.seq, b.seq))
-    if a.mask < 0 or b.mask < 0:  # missing
-        return 0.0
-    return float(tcm.median(int(a.mask), int(b.mask))[1])
+        held = np.empty(shape, object)
+        for r, c, seq in zip(row, column, part.seq, strict=True):
+            held[r, c] = masks.unpacked(seq, symbols)
+        one = lambda a, b: 0 if a is None or b is None else aligner.cost(a, b)
+        return lambda x: np.array([[one(a, b) for a, b in zip(held[x], other, strict=True)] for other in held[x + 1 :]], float).reshape(-1, shape[1])
+    sets = np.full(shape, UNKNOWN, object if masks.is_wide(symbols) else np.int64)
+    sets[row, column] = observed_sets(part, part.symbols.to_numpy(int))
+
+    def discrete(x: int) -> np.ndarray:
+        a, b = np.broadcast_arrays(sets[x], sets[x + 1 :])
+        known = (a >= 0) & (b >= 0)
+        if kind == "nonAdditive":
+            return known & ((a & b) == 0)
+        if aligner.table is not None:
+            return np.where(known, aligner.table[1][np.where(known, a, 0), np.where(known, b, 0)], 0)
+        return np.array([aligner.median(int(p), int(q))[1] if k else 0 for p, q, k in zip(a.ravel(), b.ravel(), known.ravel(), strict=True)], float).reshape(a.shape)
+
+    return discrete
 
 
 def as_matrix(pairs: DataFrame, taxa: list[str]):
     """Dense matrix in the order of the taxa; n x n values reach the driver, as the report needs them."""
-    import numpy as np
-
     place = {t: k for k, t in enumerate(taxa)}
     out = np.zeros((len(taxa), len(taxa)))
     for r in pairs.toPandas().itertuples():

@@ -62,7 +62,7 @@ class Sankoff:
 
     def leaf(self, masks: np.ndarray) -> np.ndarray:
         bits = np.arange(self.tcm.n)[:, None]
-        return np.where(masks[None] >> bits & 1, 0, INFINITE)
+        return np.where((masks[None] >> bits & 1).astype(bool), 0, INFINITE)
 
     def directed(self, child: np.ndarray) -> np.ndarray:
         """Least cost of the child's subtree for each state of the parent."""

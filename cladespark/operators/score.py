@@ -15,9 +15,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladespark.functions import masks
 from cladespark.operators import kernels
 from cladespark.operators.alignment import Aligner, Dynamic, encode
 from cladespark.operators.tcm import Tcm, default_tcm
@@ -26,8 +27,8 @@ from cladespark.operators.topology import Topology
 OBS = "taxon string, char_id int, mask bigint, lo double, hi double, seq array<bigint>"
 CHARACTERS = "char_id int, block_id int, name string, bin string, weight double, alphabet array<string>, tcm_id int, source string"
 STATIC = ("continuous", "nonAdditive", "additive", "metric", "nonMetric")
-#: Characters of one task's group.
-CHUNK = 4096
+#: Characters of one task's group, fewer where there are many taxa: a group has CELLS observations at most.
+CHUNK, CELLS = 4096, 1_000_000
 WIDEST = 1e300
 #: Stands for a missing mask in pandas, where a null would turn the column into floats, which hold 53 bits.
 UNKNOWN = -1
@@ -112,6 +113,25 @@ def dynamic_cost(tree: Topology, leaf_states: dict[int, Dynamic], aligner: Align
     return best
 
 
+def full_sets(symbols: np.ndarray) -> np.ndarray:
+    """All symbols of each character's alphabet; as Python's numbers if some alphabet is wider than 63 bits."""
+    if any(map(masks.is_wide, symbols.tolist())):
+        return np.array([(1 << s) - 1 for s in symbols.tolist()], object)
+    return (np.int64(1) << symbols) - 1
+
+
+def observed_sets(rows: pd.DataFrame, symbols: np.ndarray) -> np.ndarray:
+    """The set of each row, UNKNOWN where it is missing."""
+    narrow = rows["mask"].fillna(UNKNOWN).to_numpy(np.int64)
+    if not any(map(masks.is_wide, symbols.tolist())):
+        return narrow
+    out = narrow.astype(object)
+    for k, (seq, s) in enumerate(zip(rows.seq, symbols.tolist(), strict=True)):
+        if masks.is_wide(s):
+            out[k] = UNKNOWN if seq is None or isinstance(seq, float) else masks.unpacked(seq, s)[0]
+    return out
+
+
 def components_of(tree: Topology) -> list[Topology]:
     return [tree.subtree(r) for r in tree.roots]
 
@@ -139,7 +159,7 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
                 aligner = Aligner(tcm or default_tcm(symbols[i]))
                 states: dict[int, Dynamic] = dict.fromkeys(leaves)
                 for k in np.flatnonzero(at == i):
-                    states[node[k]] = None if sequences[k] is None else encode(sequences[k])
+                    states[node[k]] = encode(masks.unpacked(sequences[k], int(symbols[i])))
                 sizes = [len(s) for s in states.values() if s is not None]
                 lengths[i] = sum(sizes) / len(sizes) if sizes else 0
                 costs[i] = sum(dynamic_cost(t, {n: states[n] for n in t.leaves}, aligner, reroot)[0] for t in components_of(tree))
@@ -152,9 +172,8 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
             table = dict(zip(leaves, spans, strict=True))
             costs = np.broadcast_to(static_pass(tree, table, kernels.Interval().merge)[1], len(chars)).astype(float)
         else:
-            full = (np.int64(1) << symbols) - 1
-            sets = np.tile(full, (len(leaves), 1))
-            mask = known["mask"].fillna(UNKNOWN).to_numpy(np.int64)
+            sets = np.tile(full_sets(symbols), (len(leaves), 1))
+            mask = observed_sets(known, symbols[at])
             there = mask >= 0
             sets[row[there], at[there]] = mask[there]
             table = dict(zip(leaves, sets, strict=True))
@@ -168,9 +187,10 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
     return pd.concat(out) if out else pd.DataFrame({"char_id": [], "cost": [], "length": []})
 
 
-def _dealt(obs: DataFrame, characters: DataFrame) -> DataFrame:
+def _dealt(obs: DataFrame, characters: DataFrame, taxa: int) -> DataFrame:
+    size = max(1, min(CHUNK, CELLS // max(taxa, 1)))
     meta = characters.select("char_id", "bin", F.size("alphabet").alias("symbols"), "tcm_id")
-    return obs.withColumn("mask", F.coalesce("mask", F.lit(UNKNOWN).cast("long"))).join(meta, "char_id").withColumn("chunk", F.floor(F.col("char_id") / CHUNK).cast("long"))
+    return obs.withColumn("mask", F.coalesce("mask", F.lit(UNKNOWN).cast("long"))).join(meta, "char_id").withColumn("chunk", F.floor(F.col("char_id") / size).cast("long"))
 
 
 def display_costs(obs: DataFrame, characters: DataFrame, topology: Topology, tcms: dict[int, Tcm] | None = None, reroot: bool = True) -> DataFrame:
@@ -183,7 +203,7 @@ def display_costs(obs: DataFrame, characters: DataFrame, topology: Topology, tcm
         out = pd.concat(parts)
         return out.astype({"char_id": "int32", "display_id": "int32", "cost": float, "length": float})[["display_id", "char_id", "cost", "length"]]
 
-    return _dealt(obs, characters).groupBy("chunk").applyInPandas(each, "display_id int, char_id int, cost double, length double")
+    return _dealt(obs, characters, len(topology.leaves)).groupBy("chunk").applyInPandas(each, "display_id int, char_id int, cost double, length double")
 
 
 def block_costs(costs: DataFrame, characters: DataFrame, n_roots: int = 1) -> DataFrame:
@@ -200,8 +220,8 @@ def block_costs(costs: DataFrame, characters: DataFrame, n_roots: int = 1) -> Da
 
 def minimal_displays(blocks: DataFrame) -> DataFrame:
     """Of each block the cheapest display tree, the first of equal ones."""
-    order = Window.partitionBy("block_id").orderBy(F.col("cost") + F.col("root_cost"), "display_id")
-    return blocks.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
+    least = F.min(F.struct((F.col("cost") + F.col("root_cost")).alias("total"), "display_id", "cost", "root_cost")).alias("m")
+    return blocks.groupBy("block_id").agg(least).select("block_id", "m.display_id", "m.cost", "m.root_cost")
 
 
 def most_parsimonious(blocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from math import gcd, lcm
 
 import numpy as np
@@ -60,7 +60,7 @@ class Tcm:
     def n(self) -> int:
         return len(self.cost)
 
-    @property
+    @cached_property
     def array(self) -> np.ndarray:
         return np.array(self.cost, np.int64)
 
@@ -75,18 +75,19 @@ class Tcm:
     def is_symmetric(self) -> bool:
         return all(self.cost[i][j] == self.cost[j][i] for i in range(self.n) for j in range(i))
 
-    def _triangles(self):
-        # For a < b < c only c is tried as the place between a and b.
-        return ((a, b, c) for a in range(self.n) for b in range(a + 1, self.n) for c in range(b + 1, self.n))
+    def _triangles_hold(self, join) -> bool:
+        """cost(a, b) <= join(cost(a, c), cost(c, b)); for a < b < c only c is tried as the place between a and b."""
+        m = self.array
+        return all((m[:c, :c] <= join(m[:c, c, None], m[None, c, :c]))[np.triu_indices(c, 1)].all() for c in range(2, self.n))
 
     def _zero_diagonal_only(self) -> bool:
-        return all((x == 0) == (i == j) for i, row in enumerate(self.cost) for j, x in enumerate(row))
+        return bool(((self.array == 0) == np.eye(self.n, dtype=bool)).all())
 
     def is_metric(self) -> bool:
-        return self._zero_diagonal_only() and all(self.cost[a][b] <= self.cost[a][c] + self.cost[c][b] for a, b, c in self._triangles())
+        return self._zero_diagonal_only() and self._triangles_hold(np.add)
 
     def is_ultrametric(self) -> bool:
-        return self._zero_diagonal_only() and all(self.cost[a][b] <= max(self.cost[a][c], self.cost[c][b]) for a, b, c in self._triangles())
+        return self._zero_diagonal_only() and self._triangles_hold(np.maximum)
 
     def is_additive(self) -> bool:
         return all(x == abs(i - j) for i, row in enumerate(self.cost) for j, x in enumerate(row))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from cladespark.errors import UnifyError
+from cladespark.functions import masks
 from cladespark.operators.score import CHARACTERS, OBS
 from cladespark.operators.tcm import Tcm, default_tcm
 from cladespark.operators.topology import Topology
@@ -45,11 +46,14 @@ def _row(taxon: str, i: int, kind: str, c: Character, value) -> tuple:
     if kind == "continuous":
         return taxon, i, None, float(value[0]), float(value[1]), None
     if kind == "dynamic":
-        return taxon, i, None, None, None, [c.alphabet.encode(site) for site in value]
+        return taxon, i, None, None, None, masks.packed([c.alphabet.encode(site) for site in value], len(c.alphabet))
     mask = c.alphabet.encode(value)
+    # A set of a wide alphabet stands in the sequence, as it takes several numbers.
+    wide = masks.is_wide(len(c.alphabet))
+    held, seq = (None, masks.packed([mask], len(c.alphabet))) if wide else (mask, None)
     if kind == "additive":
-        return taxon, i, mask, float((mask & -mask).bit_length() - 1), float(mask.bit_length() - 1), None
-    return taxon, i, mask, None, None, None
+        return taxon, i, held, float((mask & -mask).bit_length() - 1), float(mask.bit_length() - 1), seq
+    return taxon, i, held, None, None, seq
 
 
 def unify(spark: SparkSession, sources: list[Source]) -> State:

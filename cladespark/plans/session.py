@@ -106,7 +106,13 @@ class Session:
         if spec.tcm:
             at = paths.resolve_one(self.spark, spec.tcm)
             alphabet, tcm = parse_tcm(paths.read_text(self.spark, at))
-            source = dispatch.set_tcm(source, alphabet, tcm, at)
+            try:
+                source = dispatch.set_tcm(source, alphabet, tcm, at)
+            except ParseError:
+                if spec.kind != "custom":
+                    raise
+                # Symbols of one letter each may also be written without blanks.
+                source = dispatch.set_tcm(dispatch.from_fasta(text, path, None), alphabet, tcm, at)
         return dispatch.expand_aligned(source) if spec.prealigned else dispatch.without_gaps(source)
 
     def _rescore(self) -> None:
@@ -134,7 +140,9 @@ class Session:
         elif command.groups is not None and command.groups < 1:
             raise ComputeError("at least one cluster")
         else:
-            rows = search.build(s.obs, s.characters, s.tcms, command.trajectories, command.kind, self.seed).orderBy("trajectory").collect()
+            # Trees that are there already are what a network grows from; single leaves are no trees.
+            starts = s.graphs if command.kind == "network" and all(len(g.roots) == 1 and g.children for g in s.graphs) else None
+            rows = search.build(s.obs, s.characters, s.tcms, command.trajectories, command.kind, self.seed, starts=starts).orderBy("trajectory").collect()
             graphs = [parse_newick(r.newick)[0] for r in rows]
         self.state = replace(s, graphs=graphs)
         self._rescore()

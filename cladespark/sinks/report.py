@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark.errors import OutputError
+from cladespark.functions import masks
 from cladespark.functions.alphabets import Alphabet
 from cladespark.operators import distance, search
 from cladespark.operators.tcm import default_tcm
@@ -126,7 +127,7 @@ def _dynamic(obs: DataFrame, characters: DataFrame, tcms: dict):
     meta = characters.filter("bin = 'dynamic'").orderBy("char_id").collect()
     for c in meta:
         rows = obs.filter(F.col("char_id") == c.char_id).select("taxon", "seq").collect()
-        yield c.name, tcms.get(c.tcm_id) or default_tcm(len(c.alphabet)), {r.taxon: r.seq for r in rows}
+        yield c.name, tcms.get(c.tcm_id) or default_tcm(len(c.alphabet)), {r.taxon: masks.unpacked(r.seq, len(c.alphabet)) for r in rows}
 
 
 def implied_alignments(obs: DataFrame, characters: DataFrame, tcms: dict, tree: Topology) -> dict[str, str]:

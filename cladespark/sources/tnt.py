@@ -135,6 +135,7 @@ def _xread(body: str, file: _File) -> None:
         raise ParseError(f"tnt: {n_chars} characters are expected; {', '.join(wrong)}")
     if len(file.taxa) != n_taxa:
         raise ParseError(f"tnt: {n_taxa} taxa are expected, {len(file.taxa)} are there")
+    file.taxa.sort()  # numbers in trees count the names in order, whatever the order of the rows
     file.n_chars = n_chars
     file.settings = [State(additive=kind == "continuous") for kind, v in file.rows[file.taxa[0]] for _ in v]
 

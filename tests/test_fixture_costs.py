@@ -121,3 +121,70 @@ def test_exit_codes(spark, tmp_path, files, script, code):
     for name, text in files.items():
         (tmp_path / name).write_text(text)
     assert Session(spark, lambda _: None).main(script.replace("{d}", str(tmp_path))) == code
+
+
+def test_tree_numbers_count_the_sorted_names(spark, tmp_path):
+    """Rows out of order: number 0 is the first name, not the first row."""
+    rows = [("Delta", "3"), ("Alpha", "0"), ("Charlie", "2"), ("Bravo", "1")]
+    (tmp_path / "data.tnt").write_text(tnt(rows, "(0 1) (2 3)"))
+    state = Session(spark).run(f'read("{tmp_path}/data.tnt")')
+    assert state.costs[0]["total"] == 3 and state.taxa == ["Alpha", "Bravo", "Charlie", "Delta"]
+    (tmp_path / "other.tnt").write_text(tnt(rows, "(0 3) (1 2)"))
+    assert Session(spark).run(f'read("{tmp_path}/other.tnt")').costs[0]["total"] == 4
+
+
+WIDE = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+TAXA = ["Alpha", "Bravo", "Charlie", "Delta", "Echo"]
+
+
+def wide_files(folder, symbols, cost, sequences):
+    """A cost matrix whose last symbol is the gap, and sequences of space-separated symbols."""
+    n = len(symbols)
+    table = "\n".join(" ".join(str(cost(i, j)) for j in range(n + 1)) for i in range(n + 1))
+    (folder / "m.tcm").write_text(" ".join(symbols) + "\n" + table + "\n")
+    (folder / "d.fastc").write_text("".join(f">{t}\n{' '.join(s)}\n" for t, s in zip(TAXA, sequences, strict=True)))
+    (folder / "t.tree").write_text("((Alpha,Bravo),(Charlie,(Delta,Echo)));")
+
+
+def steps(i, j):
+    return 0 if i == j else 1 + (abs(i - j) % 3)
+
+
+@pytest.mark.parametrize("cost", [lambda i, j: int(i != j), lambda i, j: abs(i - j), steps], ids=["discrete", "linear", "general"])
+@pytest.mark.parametrize("aligned", ["prealigned:", ""])
+def test_wide_alphabets_cost_what_narrow_ones_do(spark, tmp_path, cost, aligned):
+    """100 symbols of which four and the gap's neighbour occur, against the same four alone."""
+    import random
+
+    rng = random.Random(len(aligned))
+    used = [0, 1, 2, 3]
+    picks = [[rng.choice(used) for _ in range(12)] for _ in TAXA]
+    totals = []
+    for symbols in (WIDE, WIDE[:4]):
+        folder = tmp_path / str(len(symbols))
+        folder.mkdir()
+        gap = len(symbols)
+        # The gap costs the same in both, whatever its place.
+        priced = lambda i, j, gap=gap: cost(i, j) if max(i, j) < gap or i == j else 7
+        wide_files(folder, symbols, priced, [[symbols[k] for k in p] for p in picks])
+        state = Session(spark).run(f'read({aligned}custom_alphabet:(tcm:"{folder}/m.tcm", "{folder}/d.fastc"), "{folder}/t.tree")')
+        totals.append(state.costs[0]["total"])
+    assert totals[0] == totals[1] > 0
+
+
+def test_wide_alphabets_in_builds_distances_and_reports(spark, tmp_path):
+    wide_files(tmp_path, WIDE, lambda i, j: int(i != j), [[WIDE[(7 * t + k) % 100] if k != t else WIDE[99] for k in range(6)] for t in range(5)])
+    said = []
+    code = Session(spark, said.append).main(f'read(custom_alphabet:(tcm:"{tmp_path}/m.tcm", "{tmp_path}/d.fastc")) build(1) report(distance) report(implied-alignment)')
+    assert code == 0, said
+    assert said[0].splitlines()[0] == "Alpha,Bravo,Charlie,Delta,Echo" and said[1].count(">") == 5
+
+
+def test_networks_grow_from_trees_that_were_read(spark, tmp_path):
+    (tmp_path / "d.fasta").write_text(">A\nAAAA\n>B\nAACC\n>C\nCCAA\n>D\nCCCC\n")
+    (tmp_path / "t.tree").write_text("((A,D),(B,C));")
+    state = Session(spark).run(f'read(prealigned:nucleotide:"{tmp_path}/d.fasta", "{tmp_path}/t.tree")')
+    before = state.costs[0]["total"]
+    session = Session(spark)
+    session.run(f'read(prealigned:nucleotide:"{tmp_path}/d.fasta", "{tmp_path}/t.tree") build(5, network)')
+    assert len(session.state.graphs) == 1 and session.state.costs[0]["total"] <= before
