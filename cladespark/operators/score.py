@@ -29,6 +29,8 @@ CHARACTERS = "char_id int, block_id int, name string, bin string, weight double,
 STATIC = ("continuous", "nonAdditive", "additive", "metric", "nonMetric")
 #: Characters of one task's group, fewer where there are many taxa: a group has CELLS observations at most.
 CHUNK, CELLS = 4096, 1_000_000
+#: A dynamic character takes about as long as this many static ones.
+DYNAMIC = 64
 WIDEST = 1e300
 #: Stands for a missing mask in pandas, where a null would turn the column into floats, which hold 53 bits.
 UNKNOWN = -1
@@ -190,7 +192,7 @@ def character_costs(tree: Topology, rows: pd.DataFrame, tcms: dict[int, Tcm], re
 def _dealt(obs: DataFrame, characters: DataFrame, taxa: int) -> DataFrame:
     size = max(1, min(CHUNK, CELLS // max(taxa, 1)))
     meta = characters.select("char_id", "bin", F.size("alphabet").alias("symbols"), "tcm_id")
-    return obs.withColumn("mask", F.coalesce("mask", F.lit(UNKNOWN).cast("long"))).join(meta, "char_id").withColumn("chunk", F.floor(F.col("char_id") / size).cast("long"))
+    return obs.withColumn("mask", F.coalesce("mask", F.lit(UNKNOWN).cast("long"))).join(meta, "char_id").withColumn("chunk", F.when(F.col("bin") == "dynamic", -1 - F.floor(F.col("char_id") / max(1, size // DYNAMIC))).otherwise(F.floor(F.col("char_id") / size)).cast("long"))
 
 
 def display_costs(obs: DataFrame, characters: DataFrame, topology: Topology, tcms: dict[int, Tcm] | None = None, reroot: bool = True) -> DataFrame:

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
+from cladespark.file_oracles import FILE_ORACLES
+
 LEVELS, STATES, FOUR_STATES = 4, 5, 4
 WIDEST = "1e300::double"
 #: Costs between A, C, G and T.
 DNA_COSTS = [[0, 2, 1, 2], [2, 0, 2, 1], [1, 2, 0, 2], [2, 1, 2, 0]]
-#: Cost matrices of each structure: non-additive, additive, metric, ultrametric, symmetric, non-symmetric, all zeros.
-MATRICES = [
-    [[0, 1, 1], [1, 0, 1], [1, 1, 0]],
-    [[0, 1, 2], [1, 0, 1], [2, 1, 0]],
-    [[0, 4, 2, 4], [4, 0, 4, 2], [2, 4, 0, 4], [4, 2, 4, 0]],
-    [[0, 2, 6], [2, 0, 6], [6, 6, 0]],
-    [[0, 9, 1], [9, 0, 1], [1, 1, 0]],
-    [[0, 3, 6], [6, 0, 3], [3, 6, 0]],
-    [[0, 0], [0, 0]],
-]
-#: A tree of four leaves, and a network in which node 9 has the parents 5 and 6.
-EDGES = [(0, 1), (0, 2), (1, 3), (1, 4), (2, 5), (2, 6)]
-NETWORK = [(0, 1), (0, 2), (1, 3), (1, 5), (5, 4), (5, 9), (2, 6), (2, 7), (6, 8), (6, 9), (9, 10)]
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -102,9 +91,12 @@ def _sankoff_final() -> str:
     return f"with {_sankoff_levels()}, {', '.join(parts)} select char_id, node as node_id, f as mask from ({rows})"
 
 
-_CELLS = values([(k, i, j, x) for k, m in enumerate(MATRICES) for i, row in enumerate(m) for j, x in enumerate(row)], "tcm_id, i, j, cost")
+_CELLS = """(select p_partkey as tcm_id, i, j, case when i = j or p_partkey % 11 = 0 then 0 when i + j = 1 then 1 + p_size % 3 + case when i > j and p_partkey % 5 = 0 then 1 else 0 end
+ when i + j = 2 then 1 + p_size // 3 % 4 else 1 + p_size // 12 % 3 end::bigint as cost from part, (select unnest([0, 1, 2]) as i) as a, (select unnest([0, 1, 2]) as j) as b) as t"""
 _COSTS = "select c_nationkey as block_id, case when o_orderstatus = 'O' then 'dynamic' else 'additive' end as bin, floor(o_totalprice) as cost, (1 + o_orderkey % 4)::double as weight, (o_custkey % 10)::double as length from orders join customer on o_custkey = c_custkey"
-_ALL_EDGES = values([(0, a, b) for a, b in EDGES] + [(1, a, b) for a, b in NETWORK], "dag_id, parent, child")
+#: Heap graphs of 12 parts; nodes 9 and 11 have a second parent in some of them.
+_ALL_EDGES = """(select p_partkey // 12 as dag_id, (p_partkey % 12 + 1) // 2 as parent, p_partkey % 12 + 1 as child from part where p_partkey % 12 > 0
+ union all select p_partkey // 12, 5, 9 from part where p_partkey % 12 = 8 and p_size % 2 = 0 union all select p_partkey // 12, 6, 11 from part where p_partkey % 12 = 10 and p_size % 3 = 0) as t"""
 _NATION = "sizes as (select c_nationkey as dag_id, count(*) as n from customer group by 1), edges as (select dag_id, c // 2 as parent, c as child from (select dag_id, unnest(range(2, greatest(n, 2) + 1)) as c from sizes))"
 
 
@@ -219,3 +211,13 @@ select node::varchar as taxon, min(low::varchar) as cluster from comp group by 1
     "fasta_parse": "select p_brand, 'P' || p_partkey as taxon, upper(replace(p_name, ' ', '')) as sequence from part",
     "newick_parse": "select p_brand, p_partkey::varchar as taxon, case when count(*) over w = 1 then 0 when row_number() over o = 1 then count(*) over w - 1 else count(*) over w - row_number() over o + 1 end::bigint as depth from part window w as (partition by p_brand), o as (partition by p_brand order by p_partkey)",
 }
+
+ORACLES |= FILE_ORACLES
+ORACLES |= {
+    "distance_matrix_dynamic": """with s as (select p_partkey // 16 as c, lpad((p_partkey % 16)::varchar, 2, '0') as t, translate(p_name, 'abcdefghijklmnopqrstuvwxyz ', '123012301230123012301230120') as q from part)
+select a.t as i, b.t as j, sum(case when a.t = b.t then 0 else levenshtein(a.q, b.q) end)::double as distance from s a join s b using (c) group by 1, 2""",
+    "sankoff_extra": f"""with {_sankoff_levels()}, r as (select char_id, c0, c1, c2, c3, least(c0, c1, c2, c3) as m from v0), s as (select char_id, unnest([0, 1, 2, 3]) as state, [c0 - m, c1 - m, c2 - m, c3 - m] as x from r)
+select char_id, state, x[state + 1]::bigint as above, least((case state when 0 then 0 when 1 then 2 when 2 then 1 else 2 end) + x[1], (case state when 0 then 2 when 1 then 0 when 2 then 2 else 1 end) + x[2], (case state when 0 then 1 when 1 then 2 when 2 then 0 else 2 end) + x[3], (case state when 0 then 2 when 1 then 1 when 2 then 2 else 0 end) + x[4], 1099511627776)::bigint as leaving from s""",
+    "total_cost": f"""with c as (select char_id * 2 as id, cost::double as cost from (with {_fitch_levels()} select char_id, c as cost from v0) union all select char_id * 2 + 1, cost from (with {_interval_levels('l_quantity')} select char_id, c::double as cost from v0))
+select sum(cost * (1.0 + id % 7)) as block_cost, 0.0::double as root_cost, 0.0::double as network_cost, sum(cost * (1.0 + id % 7)) as total from c""",
+}

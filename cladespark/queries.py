@@ -10,16 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladespark import file_queries
 from cladespark.functions import intervals, masks
 from cladespark.operators import aggregates, distance, fold, graphs, score, search, unify
 from cladespark.operators import tcm as tcms
 from cladespark.operators.alignment import Aligner
 from cladespark.operators.tcm import Tcm
 from cladespark.operators.topology import Topology
-from cladespark.oracles import DNA_COSTS, EDGES, FOUR_STATES, MATRICES, NETWORK
+from cladespark.oracles import DNA_COSTS, FOUR_STATES
 
 LEVELS, STATES = 4, 5
 TREE = Topology.heap(LEVELS, lambda i: str(i + (1 << LEVELS)))
@@ -106,13 +107,18 @@ def sankoff_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finals(fold.sankoff_finals(_sankoff(spark, sf_dir), TREE, ["char_id"], DNA_COSTS))
 
 
-def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lengths by the vectorised executor: non-additive and additive characters together, one pass each."""
+def mixed_characters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Non-additive (even) and additive (odd) characters of the parts together."""
     sets = discrete(spark, sf_dir)
     both = sets.select("taxon", (F.col("char_id") * 2).cast("int").alias("char_id"), "mask", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("array<bigint>").alias("seq"))
     span = ranges(spark, sf_dir, "l_quantity")
     both = both.unionByName(span.select("taxon", (F.col("char_id") * 2 + 1).cast("int").alias("char_id"), F.lit(None).cast("long").alias("mask"), "lo", "hi", F.lit(None).cast("array<bigint>").alias("seq")))
-    costs = score.display_costs(both, _characters(both), TREE)
+    return both, _characters(both)
+
+
+def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lengths by the vectorised executor: non-additive and additive characters together, one pass each."""
+    costs = score.display_costs(*mixed_characters(spark, sf_dir), TREE)
     return costs.select((F.col("char_id") / 2).cast("long").alias("char_id"), F.when(F.col("char_id") % 2 == 0, "nonAdditive").otherwise("additive").alias("bin"), "cost")
 
 
@@ -138,17 +144,22 @@ def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("p_partkey", "mask", F.array_join(masks.decode(F.col("mask"), alphabet), ",").alias("symbols"), masks.first_state(F.col("mask")).alias("first"))
 
 
-def _cells(spark: SparkSession) -> DataFrame:
-    rows = [(k, i, j, x) for k, m in enumerate(MATRICES) for i, row in enumerate(m) for j, x in enumerate(row)]
-    return spark.createDataFrame(rows, "tcm_id int, i int, j int, cost long")
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix of three symbols for each part, of all structures: its size gives the costs, some keys skew or void them."""
+    places = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    cells = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tcm_id"), "p_size", places.alias("i")).withColumn("j", places)
+    size, key, at = F.col("p_size"), F.col("tcm_id"), F.col("i") + F.col("j")
+    skew = F.when((F.col("i") > F.col("j")) & (key % 5 == 0), 1).otherwise(0)
+    cost = F.when((F.col("i") == F.col("j")) | (key % 11 == 0), 0).when(at == 1, 1 + size % 3 + skew).when(at == 2, 1 + F.floor(size / 3) % 4).otherwise(1 + F.floor(size / 12) % 3)
+    return cells.select("tcm_id", "i", "j", cost.cast("long").alias("cost"))
 
 
 def tcm_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tcms.structure_frame(_cells(spark)).withColumn("bin", tcms.bin_column(F.col("structure")))
+    return tcms.structure_frame(_cells(spark, sf_dir)).withColumn("bin", tcms.bin_column(F.col("structure")))
 
 
 def tcm_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tcms.factor_frame(_cells(spark))
+    return tcms.factor_frame(_cells(spark, sf_dir))
 
 
 def tcm_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,16 +278,20 @@ def leaf_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.leaf_union(rows, ["l_partkey"], "leaves")
 
 
-def _edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, a, b) for a, b in EDGES] + [(1, a, b) for a, b in NETWORK], "dag_id int, parent int, child int")
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heap graphs of 12 parts each; nodes 9 and 11 have a second parent where the part's size says so."""
+    parts = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 12).alias("dag_id"), (F.col("p_partkey") % 12 + 1).alias("child"), "p_size")
+    tree = parts.filter("child > 1").select("dag_id", F.floor(F.col("child") / 2).alias("parent"), "child")
+    second = parts.filter("(child = 9 and p_size % 2 = 0) or (child = 11 and p_size % 3 = 0)")
+    return tree.unionByName(second.select("dag_id", F.when(F.col("child") == 9, 5).otherwise(6).cast("long").alias("parent"), "child"))
 
 
 def node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.node_kinds(_edges(spark))
+    return graphs.node_kinds(_edges(spark, sf_dir))
 
 
 def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.network_edges(_edges(spark))
+    return graphs.network_edges(_edges(spark, sf_dir))
 
 
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +302,7 @@ def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.candidate_network_edges(_edges(spark))
+    return graphs.candidate_network_edges(_edges(spark, sf_dir))
 
 
 def insert_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,19 +389,18 @@ def pairwise_alignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Part names as unaligned sequences of 4 nucleotides: a taxon for each brand and size group, a character for each type."""
+    """Part names as unaligned sequences of 4 nucleotides: 16 parts in a row are the taxa of one character."""
     codes = F.transform(F.filter(F.split("p_name", ""), lambda c: c != ""), lambda c: F.call_function("shiftleft", _long(1), (F.ascii(c) % 4).cast("int")))
-    parts = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", (F.col("p_size") % 2).cast("string")).alias("taxon"), "p_type", codes.alias("seq"), "p_partkey")
-    types = parts.select("p_type").distinct().withColumn("char_id", F.dense_rank().over(Window.orderBy("p_type")).cast("int"))
-    rows = parts.groupBy("taxon", "p_type").agg(F.min_by("seq", "p_partkey").alias("seq")).join(types, "p_type")
-    obs = rows.select("taxon", "char_id", F.lit(None).cast("long").alias("mask"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "seq")
+    key, none = F.col("p_partkey"), F.lit(None)
+    obs = table(spark, sf_dir, "part").select(F.lpad((key % 16).cast("string"), 2, "0").alias("taxon"), F.floor(key / 16).cast("int").alias("char_id"), none.cast("long").alias("mask"), none.cast("double").alias("lo"), none.cast("double").alias("hi"), codes.alias("seq"))
     alphabet = F.array(*[F.lit(c) for c in "ACGT-"])
-    chars = types.select("char_id", F.col("char_id").alias("block_id"), F.col("p_type").alias("name"), F.lit("dynamic").alias("bin"), F.lit(1.0).alias("weight"), alphabet.alias("alphabet"), F.lit(0).alias("tcm_id"), F.lit("part").alias("source"))
+    number = F.col("char_id")
+    chars = obs.select("char_id").distinct().select("char_id", number.alias("block_id"), number.cast("string").alias("name"), F.lit("dynamic").alias("bin"), F.lit(1.0).alias("weight"), alphabet.alias("alphabet"), F.lit(0).alias("tcm_id"), F.lit("part").alias("source"))
     return obs, chars
 
 
 def _comb(obs: DataFrame) -> Topology:
-    taxa = [r.taxon for r in obs.select("taxon").distinct().orderBy("taxon").collect()]  # brands x 2
+    taxa = [r.taxon for r in obs.select("taxon").distinct().orderBy("taxon").collect()]  # 16 at most
     comb = taxa[-1]
     for t in reversed(taxa[:-1]):
         comb = (t, comb)
@@ -394,7 +408,7 @@ def _comb(obs: DataFrame) -> Topology:
 
 
 def implied_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of each character's implied alignment on the comb of the brands, as masks joined by commas."""
+    """The columns of each character's implied alignment on the comb of the taxa, as masks joined by commas."""
     import pandas as pd
 
     obs, _ = _sequences(spark, sf_dir)
@@ -423,7 +437,7 @@ def edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dynamic_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct optimization of part names on a comb of the brands, rooted where each character is cheapest."""
+    """Direct optimization of part names on a comb of the taxa, rooted where each character is cheapest."""
     obs, chars = _sequences(spark, sf_dir)
     tree = _comb(obs)
     return score.display_costs(obs, chars, tree, {0: tcms.default_tcm(5)}).select("char_id", "cost", "length")
@@ -435,11 +449,11 @@ def distance_matrix_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A matrix of nations: the segments, statuses and priorities of each one's customers and orders as states."""
+    """A matrix of 10 groups of nations and 40 of orders: the sum of a cell's prices, modulo 4, is its state, so every order enters."""
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).withColumn("taxon", F.concat(F.lit("N"), F.lpad((F.col("c_nationkey") % 10).cast("string"), 2, "0")))
-    state = F.call_function("shiftleft", _long(1), (F.col("o_totalprice").cast("long") % 4).cast("int"))
-    obs = joined.groupBy("taxon", (F.col("o_orderkey") % 40).cast("int").alias("char_id")).agg(F.max_by(state, "o_orderkey").alias("mask"))
+    state = F.call_function("shiftleft", _long(1), (F.sum(F.col("o_totalprice").cast("long")) % 4).cast("int"))
+    obs = joined.groupBy("taxon", (F.col("o_orderkey") % 40).cast("int").alias("char_id")).agg(state.alias("mask"))
     obs = obs.select("taxon", "char_id", "mask", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("array<bigint>").alias("seq"))
     alphabet = F.array(*[F.lit(str(i)) for i in range(4)])
     chars = obs.select("char_id").distinct().select("char_id", (F.col("char_id") % 2).alias("block_id"), F.col("char_id").cast("string").alias("name"), F.lit("nonAdditive").alias("bin"), F.lit(1.0).alias("weight"), alphabet.alias("alphabet"), F.lit(None).cast("int").alias("tcm_id"), F.lit("orders").alias("source"))
@@ -528,4 +542,4 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in [*QUERIES, *file_queries.QUERIES]}
