@@ -17,6 +17,8 @@ from cladespark.operators.tcm import DENSE_SYMBOLS, Tcm
 Element = tuple[int, int, int]
 Dynamic = list[Element] | None
 DIAGONAL, LEFT, UP = 0, 1, 2
+#: Different sets whose costs are tabulated for a run of pairs, and cells of a row of all of them.
+MOST_SETS, RUN_CELLS = 512, 1_000_000
 
 
 def encode(sites: Sequence[int] | None) -> Dynamic:
@@ -168,6 +170,38 @@ class Aligner:
         """Cost of two observed sequences."""
         return self.align(encode(a), encode(b))[0]
 
+    def costs(self, left: Sequence[Sequence[int]], right: Sequence[Sequence[int]]) -> np.ndarray:
+        """Cost of each left sequence with its right one; all pairs of a run go through the recurrence together."""
+        left, right = ([[s for s in x if s != self.gap] for x in side] for side in (left, right))
+        sets = sorted({s for side in (left, right) for x in side for s in x})
+        if len(sets) > MOST_SETS:
+            return np.array([self.cost(x, y) for x, y in zip(left, right, strict=True)], np.int64)
+        place = {s: k for k, s in enumerate(sets)}
+        table = np.zeros((len(sets) + 1, len(sets) + 1), np.int64)
+        for s, k in place.items():
+            table[k, -1] = table[-1, k] = self.median(s, self.gap)[1]
+            table[k, : k + 1] = table[: k + 1, k] = [self.median(s, t)[1] for t in sets[: k + 1]]
+        out = np.zeros(len(left), np.int64)
+        longest = 1 + max([1, *map(len, right)])
+        for at in range(0, len(left), step := max(1, RUN_CELLS // longest)):
+            xs, ys = left[at : at + step], right[at : at + step]
+            n, m = (np.array([len(x) for x in side]) for side in (xs, ys))
+            a, b = np.zeros((len(xs), max(1, n.max())), np.int64), np.zeros((len(ys), max(1, m.max())), np.int64)
+            for codes, side in ((a, xs), (b, ys)):
+                for k, x in enumerate(side):
+                    codes[k, : len(x)] = [place[s] for s in x]
+            run = np.concatenate([np.zeros((len(xs), 1), np.int64), np.cumsum(table[-1, b], 1)], 1)
+            before, found = run, np.zeros(len(xs), np.int64)
+            for i in range(a.shape[1]):
+                down = table[a[:, i], -1][:, None]
+                start = before + down
+                start[:, 1:] = np.minimum(start[:, 1:], before[:, :-1] + table[a[:, i, None], b])
+                before = np.minimum.accumulate(start - run, 1) + run
+                done = n == i + 1
+                found[done] = before[done, m[done]]
+            out[at : at + step] = np.where((n > 0) & (m > 0), found, 0)
+        return out
+
     def disambiguated(self, character: Dynamic) -> Dynamic:
         """One symbol for each site: the first one of its median, so that a site with one symbol keeps it."""
         if character is None:

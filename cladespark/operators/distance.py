@@ -80,8 +80,16 @@ def _costs(kind: str, part: pd.DataFrame, row: np.ndarray, column: np.ndarray, s
         held = np.empty(shape, object)
         for r, c, seq in zip(row, column, part.seq, strict=True):
             held[r, c] = masks.unpacked(seq, symbols)
-        one = lambda a, b: 0 if a is None or b is None else aligner.cost(a, b)
-        return lambda x: np.array([[one(a, b) for a, b in zip(held[x], other, strict=True)] for other in held[x + 1 :]], float).reshape(-1, shape[1])
+
+        def aligned(x: int) -> np.ndarray:
+            out = np.zeros((shape[0] - x - 1, shape[1]), np.int64)
+            at = [(r, c) for r in range(len(out)) for c in range(shape[1]) if held[x, c] is not None and held[x + 1 + r, c] is not None]
+            if at:
+                r, c = np.array(at).T
+                out[r, c] = aligner.costs(held[x, c], held[x + 1 + r, c])
+            return out
+
+        return aligned
     sets = np.full(shape, UNKNOWN, object if masks.is_wide(symbols) else np.int64)
     sets[row, column] = observed_sets(part, part.symbols.to_numpy(int))
 

@@ -376,14 +376,9 @@ def pairwise_alignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     def each(batches):
         letters = {c: 1 << i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz ")}
         aligner = Aligner(tcms.default_tcm(len(letters) + 1))
-        known: dict[tuple[str, str], int] = {}
+        coded = lambda names: [[letters[c] for c in x] for x in names]
         for batch in batches:
-            costs = []
-            for x, y in zip(batch.x, batch.y, strict=True):
-                if (x, y) not in known:
-                    known[x, y] = aligner.cost([letters[c] for c in x], [letters[c] for c in y])
-                costs.append(known[x, y])
-            yield pd.DataFrame({"p_partkey": batch.p_partkey, "cost": pd.array(costs, "int64")})
+            yield pd.DataFrame({"p_partkey": batch.p_partkey, "cost": aligner.costs(coded(batch.x), coded(batch.y))})
 
     return pairs.mapInPandas(each, "p_partkey long, cost long")
 

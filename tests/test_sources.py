@@ -319,3 +319,18 @@ def test_wide_alphabets_keep_every_bit(spark):
     chars = spark.createDataFrame([(0, 0, "c", "nonAdditive", 1.0, symbols, None, "x")], CHARACTERS)
     (tree,) = parse_newick("((t0,t1),(t2,t3));")
     assert score(obs, chars, tree)["total"] == 1
+
+
+def test_pairs_together_cost_what_they_cost_alone():
+    import random
+
+    from cladespark.operators.alignment import Aligner
+    from cladespark.operators.tcm import Tcm, default_tcm
+
+    rng = random.Random(3)
+    general = Tcm.of([[0 if i == j else 1 + (i + 2 * j) % 4 for j in range(5)] for i in range(5)])
+    for tcm in (default_tcm(5), general, Tcm.generate(12, lambda i, j: abs(i - j)), default_tcm(70)):
+        aligner = Aligner(tcm)
+        some = lambda: [rng.randrange(1, 1 << min(tcm.n, 6)) if rng.random() < 0.8 else aligner.gap for _ in range(rng.randrange(9))]  # noqa: B023, E731
+        left, right = [some() for _ in range(60)], [some() for _ in range(60)]
+        assert aligner.costs(left, right).tolist() == [aligner.cost(x, y) for x, y in zip(left, right, strict=True)]
