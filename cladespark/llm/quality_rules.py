@@ -31,6 +31,8 @@ ORDER = 3
 THRESHOLD = -0.5
 #: The corpus counts as this many n-grams of the trusted multinomial, and as so many for each 1000 of its own.
 PRIOR, PRIOR_PER_1000 = 100_000, 1
+#: Up to this many trusted ids are broadcast (8 bytes each) and marked in one pass; more are joined by a shuffle. The counts are the same.
+BROADCAST_TRUSTED = 500_000
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -174,10 +176,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, carry: list
     staging.small_batches(spark)
     known = staging.stage(trusted_ids(spark, sf_dir).select(_id_key().alias("key")), "trusted")
     texts = docs.filter("doc_id is not null").select(_id_key().alias("key"), F.col("text").cast("string").alias("text"))
-    # Ids of any number are shuffled with the texts that a bounded bit table lets through, not with all texts.
-    trusted = ngram_join._sifted(texts, known).join(known, "key", "left_semi")
-    every, _ = multinomials(docs.select("text", F.lit(False).alias("__good")), "text", "__good")
-    _, good = multinomials(trusted.select("text", F.lit(True).alias("__good")), "text", "__good")
+    if known.count() <= BROADCAST_TRUSTED:
+        marked = docs.select(_id_key().alias("key"), F.col("doc_id").isNotNull().alias("__id"), F.col("text").cast("string").alias("text"))
+        marked = marked.join(F.broadcast(known.withColumn("__known", F.lit(True))), "key", "left")
+        every, good = multinomials(marked.select("text", (F.col("__id") & F.col("__known")).alias("__good")), "text", "__good")
+    else:
+        # Ids of any number are shuffled with the texts that a bounded bit table lets through, not with all texts.
+        trusted = ngram_join._sifted(texts, known).join(known, "key", "left_semi")
+        every, _ = multinomials(docs.select("text", F.lit(False).alias("__good")), "text", "__good")
+        _, good = multinomials(trusted.select("text", F.lit(True).alias("__good")), "text", "__good")
     return judge(docs, "doc_id", "text", log_ratios(every, good), threshold, carry)
 
 

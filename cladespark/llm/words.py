@@ -48,7 +48,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about `limit` bytes, one row at least: first row, end row, bytes, bounds from 0."""
     data, bounds = raw(column)
     row, n = 0, len(column)

@@ -528,7 +528,9 @@ def test_ratio_matches_a_direct_count_and_rejects_what_is_unlike(spark, tmp_path
         assert got[d].kept == (d < 100 and not got[d].base_failed)
 
 
-def test_all_trusted_rows_count(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_all_trusted_rows_count(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_TRUSTED", broadcast)
     spark.range(20_500).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
     assert quality_rules.trusted_ids(spark, str(tmp_path)).count() == 20_500
     frame = spark.range(20_600).selectExpr("id as doc_id", "if(id < 20500, if(id % 2 = 0, 'abc', concat('cd', char(97 + cast(id % 26 as int)))), 'xyz') as text")
