@@ -45,7 +45,7 @@ NGRAM, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 24, 6, 0.99999
 SIGMAS = 6
 #: Nodes of a block when signatures are compared, and when texts are.
-BLOCK, TEXT_BLOCK = 500, 200
+BLOCK, TEXT_BLOCK = 250, 150
 #: N-grams of a component for each further block of texts, for the sake of very long ones.
 TEXT_BLOCK_GRAMS = 2_000_000
 #: Log of the bits that say which texts are wanted for exact comparison.

@@ -29,7 +29,7 @@ from cladespark.llm import staging
 WINDOW, CLOSING = 2048, 1
 #: Words in each of the two generations of a Python worker's store: when the young one is full it becomes the old
 #: one, and words that are met again move over, so frequent words stay.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 90_000
 #: Up to this many partitions, their first offsets are broadcast.
 BROADCAST_PARTITIONS = 500_000
 #: Texts of these characters alone are cut into words here: for them lower case, NFC and the classes of
