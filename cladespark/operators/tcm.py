@@ -9,7 +9,7 @@ from functools import cached_property, lru_cache
 from math import gcd, lcm
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LARGEST = 2**32 - 1
@@ -166,20 +166,36 @@ def precedence(script: Tcm | None, in_file: Tcm | None, n: int) -> Tcm:
 
 
 def structure_frame(cells: DataFrame) -> DataFrame:
-    """(tcm_id, structure) of cells(tcm_id, i, j, cost), by joins of the matrices with themselves.
+    """(tcm_id, structure) of cells(tcm_id, i, j, cost).
 
-    One matrix is at most a few hundred symbols wide; the triple join is per matrix.
+    Cells are dealt out once, by matrix, and one matrix, at most a few hundred symbols wide, is compared with itself in
+    one task. Joins of cells with cells were broadcast through the driver where their number was guessed too low.
+    Cells that come twice all count; comparisons with a cost that is null or missing do not.
     """
-    base = cells.groupBy("tcm_id").agg(F.bool_and((F.col("cost") == 0) == (F.col("i") == F.col("j"))).alias("zeros"), F.bool_and(F.col("cost") == F.abs(F.col("i") - F.col("j"))).alias("additive"), F.bool_and(F.col("cost") == F.when(F.col("i") == F.col("j"), 0).otherwise(1)).alias("discrete"))
-    other = cells.select("tcm_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("cost").alias("back"))
-    symmetric = cells.join(other, ["tcm_id", "i", "j"]).groupBy("tcm_id").agg(F.bool_and(F.col("cost") == F.col("back")).alias("symmetric"))
-    ab = cells.filter("i < j").select("tcm_id", F.col("i").alias("a"), F.col("j").alias("b"), F.col("cost").alias("ab"))
-    ac = cells.select("tcm_id", F.col("i").alias("a"), F.col("j").alias("c"), F.col("cost").alias("ac"))
-    cb = cells.select("tcm_id", F.col("i").alias("c"), F.col("j").alias("b"), F.col("cost").alias("cb"))
-    thirds = ab.join(ac, ["tcm_id", "a"]).filter("b < c").join(cb, ["tcm_id", "c", "b"])
-    triangles = thirds.groupBy("tcm_id").agg(F.bool_and(F.col("ab") <= F.col("ac") + F.col("cb")).alias("metric"), F.bool_and(F.col("ab") <= F.greatest("ac", "cb")).alias("ultra"))
-    joined = base.join(symmetric, "tcm_id").join(triangles, "tcm_id", "left")
-    metric, ultra = F.col("zeros") & F.coalesce("metric", F.lit(True)), F.col("zeros") & F.coalesce("ultra", F.lit(True))
+    i, j, cost = F.col("i"), F.col("j"), F.col("cost")
+    side = lambda name, there: (F.min(F.when(there, cost)).alias(name), F.max(F.when(there, cost)).alias(f"{name}_most"), F.bool_or(F.when(there, cost.isNull())).alias(f"{name}_void"))
+    flags = F.bool_and((cost == 0) == (i == j)).alias("zeros"), F.bool_and(cost == F.abs(i - j)).alias("additive"), F.bool_and(cost == F.when(i == j, 0).otherwise(1)).alias("discrete")
+    low, high = F.when(i <= j, i).when(i > j, j).alias("low"), F.when(i <= j, j).when(i > j, i).alias("high")
+    # Both costs of a pair of symbols; _void is null if there is no such cell, and on the diagonal both are the same cells.
+    pairs = cells.dropna(subset="tcm_id").repartition("tcm_id").groupBy("tcm_id", low, high).agg(*flags, *side("up", i <= j), *side("down", i >= j))
+    mirrored = F.col("up_void").isNotNull() & F.col("down_void").isNotNull()
+    symmetric = F.when(mirrored, (F.col("up") == F.col("down_most")) & (F.col("up_most") == F.col("down")))
+    above = F.collect_list(F.when(F.col("low") < F.col("high"), F.struct("low", "high", "up", "up_most", "up_void", "down", "down_void")))
+    kept = [F.bool_and(x).alias(x) for x in ("zeros", "additive", "discrete")]
+    joined = pairs.groupBy("tcm_id").agg(*kept, F.bool_and(symmetric).alias("symmetric"), F.bool_or(mirrored).alias("mirrored"), above.alias("above")).filter("mirrored")
+    row = lambda a: F.map_from_entries(F.transform(F.filter("above", lambda p: p["low"] == a), lambda p: F.struct(p["high"], p)))
+    lows = F.array_distinct(F.transform("above", lambda p: p["low"]))
+    joined = joined.withColumn("rows", F.map_from_entries(F.transform(lows, lambda a: F.struct(a, row(a)))))
+
+    def triangles_hold(join) -> Column:
+        """cost(a, b) <= join(cost(a, c), cost(c, b)) for all a < b < c."""
+        through = lambda c, x, y: F.when(x["up_void"].isNotNull() & y["down_void"].isNotNull(), join(x, y))
+        least = lambda p: F.array_min(F.map_values(F.map_zip_with(F.try_element_at("rows", p["low"]), F.try_element_at("rows", p["high"]), through)))
+        return F.forall("above", lambda p: F.coalesce(p["up_most"] <= least(p), F.lit(True)))
+
+    # greatest() leaves out a null.
+    greatest = lambda x, y: F.least(F.greatest(x["up"], y["down"]), F.when(x["up_void"], y["down"]), F.when(y["down_void"], x["up"]))
+    metric, ultra = F.col("zeros") & triangles_hold(lambda x, y: x["up"] + y["down"]), F.col("zeros") & triangles_hold(greatest)
     structure = F.when(~F.col("symmetric"), "NonSymmetric").when(~metric, "Symmetric").when(F.col("additive"), "Additive").when(~ultra, "Metric").when(~F.col("discrete"), "UltraMetric").otherwise("NonAdditive")
     return joined.select("tcm_id", structure.alias("structure"))
 

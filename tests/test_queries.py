@@ -88,3 +88,45 @@ def test_executors_agree(spark):
     nodes = fold.fitch_finals(fold.fitch_nodes(obs, tree, ["char_id"], F.lit(31).cast("long")), tree, ["char_id"], strict=True)
     found = {(r.char_id, r.node_id): r.final for r in nodes.filter("node_id < 16").collect()}
     assert all(found[c, n] == final[n][i] for i, c in enumerate(chars) for n in range(1, 16))
+
+
+def test_tcm_structure_joins_nothing(spark):
+    """A join of cells with cells is broadcast through the driver where their number is guessed too low."""
+    plan = queries.tcm_structure(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert plan.count("Exchange") == 1
+
+
+def test_tcm_structure_of_odd_parts(spark, tmp_path):
+    """Keys that come twice, with other sizes or none, keys below 0, keys and sizes that are null."""
+    con = duckdb.connect()
+    con.execute("""create table part as select case when k % 53 = 0 then null else k // (1 + abs(k) % 3) end::bigint as p_partkey, case when k % 7 = 0 then null else abs(k) * 31 % 61 end::int as p_size from range(-200, 2000) as t(k)""")
+    con.execute(f"copy part to '{tmp_path}/part.parquet' (format parquet)")
+    df = queries.tcm_structure(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.select("tcm_id", "structure", "bin").collect())
+    assert got == sorted(con.sql(f"select tcm_id, structure, bin from ({oracles.ORACLES['tcm_structure']})").fetchall())
+    assert len({r[1] for r in got}) == 6
+
+
+def test_tcm_structure_of_wider_matrices(spark):
+    """Structures of cells are those of the matrices, whatever the symbols are called; without mirrored cells there is none."""
+    import random
+
+    from cladespark.operators import tcm
+
+    rng = random.Random(5)
+    distances = [lambda i, j: int(i != j), lambda i, j: abs(i - j), lambda i, j: 2 * abs(i - j), lambda i, j: (i ^ j).bit_length(), lambda i, j: rng.choice([3, 4, 5]), lambda i, j: rng.choice([1, 3])]
+    want, rows = {}, []
+    for key in range(120):
+        n, f, skew = 2 + key % 7, distances[key % len(distances)], key % 5 == 0
+        half = {(i, j): f(i, j) * (i != j) for i in range(n) for j in range(i, n)}
+        m = tcm.Tcm.generate(n, lambda i, j: half[min(i, j), max(i, j)] + (skew and i > 0 == j))  # noqa: B023
+        want[key] = m.structure()
+        rows += [(key, i, j, x) for i, row in enumerate(m.cost) for j, x in enumerate(row)]
+    rng.shuffle(rows)
+    cells = spark.createDataFrame([*rows, (999, 0, 1, 1), (999, 1, 2, 1)], "tcm_id long, i int, j int, cost long")
+    assert {r.tcm_id: r.structure for r in tcm.structure_frame(cells).collect()} == want
+    assert len(set(want.values())) == 6
+    renamed = cells.selectExpr("tcm_id", "10 * i - 7 as i", "10 * j - 7 as j", "cost")
+    other = {k: "NonAdditive" if k % 7 == 0 else "UltraMetric" for k, v in want.items() if v == "Additive"}
+    assert {r.tcm_id: r.structure for r in tcm.structure_frame(renamed).collect()} == want | other
